@@ -1,0 +1,259 @@
+"""PII spans by weak supervision.
+
+1. Candidates: one broad pattern finds spans that look like an address, a number, a secret or a key
+   in the whole text of the rows that hold a digit, an at sign, an equals sign or a long run of
+   capitals (a built-in predicate; no candidate can lie elsewhere). Each candidate gets the votes of the labelers
+   (regex, gazetteer, context: 1, 0 for abstain, -1) and a set of binary features.
+2. Votes of *all* candidates are counted by pattern in one aggregate; the number of patterns depends
+   on the labelers, not on the data. Expectation-maximisation over the counted patterns (one
+   confusion table a labeler and kind, Dirichlet-smoothed) estimates how reliable each labeler is
+   and the chance of each pattern to be private.
+3. A logistic span classifier is trained on those chances over all counted feature patterns and
+   decides each span.
+
+Defined results: null and empty texts have no spans; repeated rows yield their spans each; a null id
+is kept; an empty table, or one without candidates, yields no rows. Positions are code points, end
+exclusive. Spans don't overlap: at each place the leftmost candidate counts, then the order of the
+kinds. Only the key and text columns are read; others may have any name.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codeloom.llm.common import cut, ref
+
+KINDS = ("email", "secret", "key", "iban", "ip", "phone", "number", "ssn")
+CANDIDATE = re.compile(
+    r"(?P<email>[^\W_][\w.+-]*@[\w-]+(?:\.[\w-]+)*)"
+    r"|(?P<secret>\b[A-Za-z_][A-Za-z_-]{1,30}\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{12,}[\"']?)"
+    r"|(?P<key>\b[A-Z0-9][A-Z0-9_-]{19,}\b)"
+    r"|(?P<iban>\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b)"
+    r"|(?P<ip>\b\d{1,3}(?:\.\d{1,3}){3}\b)"
+    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}\b|\(\d{3}\) ?\d{3}-\d{4}\b)"
+    r"|(?P<ssn>\b\d{3}-\d{2}-\d{4}\b)"
+    r"|(?P<number>\b\d(?:[ -]?\d){12,18}\b)"
+)
+#: True of every text that holds a candidate.
+PREFILTER = "[0-9@=:]|[A-Z0-9_-]{20}"
+
+SECRET_WORDS = {"token", "password", "passwd", "pwd", "secret", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private_key", "key", "pass", "passwort", "contraseña", "motdepasse"}
+TOP_DOMAINS = {"com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "ch", "at", "it", "nl", "us", "ca", "biz", "co", "me"}
+KEY_PREFIXES = ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIZA", "GHP_", "GHO_", "XOXB", "SK_L")
+CUES = {"call", "phone", "tel", "mobile", "fax", "mail", "email", "e-mail", "contact", "card", "visa", "mastercard", "ip", "host", "from", "login", "account", "iban", "ssn", "telefon", "correo", "courriel"}
+DECOYS = {"version", "v", "ver", "release", "licensed", "license", "licence", "section", "figure", "isbn", "issn", "rfc", "cc", "by", "by-nc", "build"}
+#: Issuer prefixes of payment cards, by length.
+CARD = re.compile(r"4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:2[2-9]|[3-6]\d|7[01])\d{13}|3[47]\d{13}|6(?:011|5\d\d)\d{12}|3(?:0[0-5]|[68]\d)\d{11}")
+LABELERS = ("regex", "gazetteer", "cue", "edges", "shape")
+#: Kinds whose check digit and complete prefix list hold for every true one.
+CHECKED = ("number", "iban")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c)
+        total += v if i % 2 == 0 else v * 2 - 9 * (v > 4)
+    return total % 10 == 0
+
+
+def iban_ok(s: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def entropy(s: str) -> float:
+    n = len(s)
+    return -sum(k / n * math.log2(k / n) for k in (s.count(c) for c in set(s))) if n else 0.0
+
+
+def votes(kind: str, span: str, before: str, after: str) -> tuple[int, ...]:
+    """One vote a labeler, in the order of LABELERS."""
+    digits = re.sub(r"\D", "", span)
+    words = re.findall(r"[\w-]+", before.lower())
+    near = words[-3:]
+    rx = gz = 0
+    if kind == "email":
+        rx = 1 if re.fullmatch(r"[\w.+-]{1,64}@(?:[\w-]+\.)+[A-Za-z]{2,24}", span) else -1
+        gz = 1 if span.rsplit(".", 1)[-1].lower() in TOP_DOMAINS else -1
+        shape = 1 if "." in span.split("@", 1)[1] else -1
+    elif kind == "secret":
+        name, value = re.split(r"\s{0,2}[=:]\s{0,2}", span, maxsplit=1)
+        value = value.strip("\"'")
+        mixed = bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value))
+        rx = 1 if mixed and re.fullmatch(r"[A-Za-z0-9+/_-]{12,}", value) else -1
+        gz = 1 if name.lower() in SECRET_WORDS else -1
+        shape = 1 if entropy(value) >= 2.5 else -1
+    elif kind == "key":
+        rx = 1 if re.search(r"\d", span) and re.search(r"[A-Z]{2}", span) or re.fullmatch(r"[A-Z0-9]{20}", span) else -1
+        gz = 1 if span.startswith(KEY_PREFIXES) else -1
+        shape = 1 if entropy(span) >= 3.0 else -1
+    elif kind == "iban":
+        rx = 1 if iban_ok(span) else -1
+        gz = 1 if span[:2] in {"DE", "FR", "ES", "AT", "CH", "IT", "NL", "GB", "BE", "PT", "PL", "SE", "DK", "NO", "FI", "IE", "LU"} else -1
+        shape = 1 if 15 <= len(span) <= 34 else -1
+    elif kind == "ip":
+        parts = [int(x) for x in span.split(".")]
+        rx = 1 if max(parts) <= 255 and all(str(p) == x for p, x in zip(parts, span.split("."), strict=True)) else -1
+        gz = -1 if parts in ([0, 0, 0, 0], [127, 0, 0, 1], [255, 255, 255, 255], [8, 8, 8, 8], [1, 1, 1, 1]) else 0
+        shape = 1 if len(digits) >= 6 or len(set(parts)) > 2 else -1
+    elif kind == "phone":
+        rx = 1 if 8 <= len(digits) <= 15 else -1
+        gz = 1 if re.match(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(\d{3}\)", span) else -1
+        shape = 1 if len(set(digits)) >= 3 else -1
+    elif kind == "ssn":
+        a, b, c = span.split("-")
+        rx = 1 if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" else -1
+        shape = 1 if len(set(digits)) >= 3 else -1
+    else:
+        rx = 1 if luhn(digits) else -1
+        gz = 1 if CARD.fullmatch(digits) else -1
+        shape = 1 if len(set(digits)) >= 3 else -1
+    cue = -1 if set(near) & DECOYS else 1 if set(near) & CUES else 0
+    edges = -1 if (before[-1:].isalnum() or after[:1].isalnum()) else 1
+    return rx, gz, cue, edges, shape
+
+
+def features(kind: str, span: str, vote: tuple[int, ...], before: str, after: str) -> tuple[int, ...]:
+    """Binary features of a span for the final classifier."""
+    out = [int(kind == k) for k in KINDS]
+    for v in vote:
+        out += [int(v > 0), int(v < 0)]
+    # a reliable pair is worth more than its parts, kind by kind
+    out += [int(kind == k and vote[0] > 0 and vote[1] >= 0) for k in KINDS]
+    out += [int(kind == k and vote[0] < 0) for k in KINDS]
+    out += [int(len(span) >= n) for n in (12, 16, 24, 40)]
+    out += [int(before[-1:] in "\"'([<"), int(after[:1] in "\"')]>.,;")]
+    return tuple(out)
+
+
+def spans(text: str):
+    """(start, end, kind, votes, features) of the candidates of a text."""
+    for m in CANDIDATE.finditer(text):
+        kind, a, b = m.lastgroup, m.start(), m.end()
+        while kind == "email" and text[b - 1] in ".-":
+            b -= 1
+        span, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 2]
+        vote = votes(kind, span, before, after)
+        yield a, b, kind, vote, features(kind, span, vote, before, after)
+
+
+@dataclass
+class Model:
+    """What was learnt: by kind a prior and confusion tables, and the classifier's weights."""
+
+    prior: dict[str, float] = field(default_factory=dict)
+    tables: dict[str, np.ndarray] = field(default_factory=dict)
+    weights: np.ndarray | None = None
+
+    def chance(self, kind: str, vote: tuple[int, ...]) -> float:
+        t, p = self.tables[kind], self.prior[kind]
+        one = math.log(p) + sum(math.log(t[1, k, v + 1]) for k, v in enumerate(vote))
+        zero = math.log(1 - p) + sum(math.log(t[0, k, v + 1]) for k, v in enumerate(vote))
+        return 1 / (1 + math.exp(min(700.0, zero - one)))
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(np.c_[np.ones(len(x)), x] @ self.weights)))
+
+
+def expectation_maximisation(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 60) -> Model:
+    """Confusion tables P(vote | class) of each labeler, kind by kind, from counted vote patterns.
+
+    Pseudo-counts of a labeler that is right four times in five say which class is which; they
+    weigh as much as ten candidates. For kinds with a check digit the first two labelers hardly ever
+    vote against a true one: that prior weighs as much as all candidates, and the first guess needs
+    both votes. A labeler that votes alike for all learns to say nothing.
+    """
+    model = Model()
+    start = np.empty((2, len(LABELERS), 3))
+    start[0], start[1] = [7.0, 2.0, 1.0], [1.0, 2.0, 7.0]
+    for kind in sorted({k for k, _ in counts}):
+        own = [(v, n) for (k, v), n in sorted(counts.items()) if k == kind]
+        vote, n = np.array([v for v, _ in own]) + 1, np.array([c for _, c in own], float)
+        # the first guess trusts the two labelers that look at the content
+        p1 = np.clip(0.5 + 0.4 * (vote[:, 0] - 1) + 0.05 * (vote[:, 1] - 1), 0.05, 0.95)
+        pseudo = start.copy()
+        if kind in CHECKED:
+            p1 = np.where((vote[:, 0] > 1) & (vote[:, 1] > 0), 0.95, 0.05)
+            pseudo[1, :2] = np.array([0.002, 0.002, 0.996]) * (10 + n.sum())
+        for _ in range(rounds):
+            table = pseudo.copy()
+            for k in range(len(LABELERS)):
+                np.add.at(table[1, k], vote[:, k], n * p1)
+                np.add.at(table[0, k], vote[:, k], n * (1 - p1))
+            table /= table.sum(2, keepdims=True)
+            prior = (1 + (n * p1).sum()) / (2 + n.sum())
+            logit = np.log(prior / (1 - prior)) + sum(np.log(table[1, k, vote[:, k]] / table[0, k, vote[:, k]]) for k in range(len(LABELERS)))
+            p1 = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        model.prior[kind], model.tables[kind] = float(prior), table
+    return model
+
+
+def train(counts: dict[tuple[str, tuple[int, ...], tuple[int, ...]], int], rounds: int = 40, ridge: float = 1e-2) -> Model:
+    """EM over the vote patterns, then a logistic classifier on its chances by Newton's method."""
+    by_vote: dict = {}
+    for (kind, vote, _), n in counts.items():
+        by_vote[kind, vote] = by_vote.get((kind, vote), 0) + n
+    model = expectation_maximisation(by_vote)
+    rows = sorted(counts)
+    x = np.array([f for _, _, f in rows], float)
+    x = np.c_[np.ones(len(x)), x]
+    y = np.array([model.chance(k, v) for k, v, _ in rows])
+    n = np.array([counts[r] for r in rows], float)
+    # every kind weighs alike, so that a rare one isn't drowned
+    kinds = [r[0] for r in rows]
+    size = {k: sum(c for kk, c in zip(kinds, n, strict=True) if kk == k) for k in set(kinds)}
+    n = n / np.array([size[k] for k in kinds]) * 1000
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (n * (p - y)) + ridge * w
+        h = (x * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    model.weights = w
+    return model
+
+
+def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, start, end, kind, votes, features) of all candidate spans."""
+    kind = docs.schema[key].dataType
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for i, t in enumerate(batch.column(1)):
+                for a, b, k, v, f in spans(t.as_py()):
+                    for col, x in zip(out, (i, a, b, k, "".join("-0+"[s + 1] for s in v), "".join(map(str, f))), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), *(pa.array(c, pa.string()) for c in out[3:])], names=["k", "start", "end", "kind", "votes", "features"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("k", kind), *(T.StructField(c, T.LongType()) for c in ("start", "end")), *(T.StructField(c, T.StringType()) for c in ("kind", "votes", "features"))])
+    return docs.select(ref(key).alias("k"), ref(text).alias("t")).filter(F.col("t").rlike(PREFILTER)).mapInArrow(run, schema).withColumnRenamed("k", key)
+
+
+def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """(key, start, end, kind, score) of the spans that the trained classifier holds private."""
+    spark = docs.sparkSession
+    found = cut(candidates(docs, text, key).withColumnRenamed(key, "k"))
+    counted = found.groupBy("kind", "votes", "features").agg(F.count(F.lit(1)).alias("n")).collect()
+    schema = "kind string, votes string, features string, score double"
+    if counted:
+        rows = {(r["kind"], tuple("-0+".index(c) - 1 for c in r["votes"]), tuple(map(int, r["features"]))): r["n"] for r in counted}
+        model = train(rows)
+        score = model.score(np.array([tuple(map(int, r["features"])) for r in counted], float))
+        scored = [(r["kind"], r["votes"], r["features"], float(round(s, 6))) for r, s in zip(counted, score, strict=True) if s >= least]
+    else:
+        scored = []
+    good = spark.createDataFrame(scored, schema)
+    return found.join(F.broadcast(good), ["kind", "votes", "features"]).select(F.col("k").alias(key), "start", "end", "kind", "score")
