@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, mixing, packing, pii, quality, sharding, simhash, wavelet
+from codeloom.llm import exact_dedup, html_extract, mixing, packing, pii, quality, sharding, simhash, wavelet
 from codeloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_wavelet_shards": op6_wavelet_shards,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
