@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import exact_dedup, html_extract, mixing, packing, pii, quality, sharding, simhash, wavelet
+from codeloom.llm import exact_dedup, html_extract, lm_score, mixing, packing, pii, quality, sharding, simhash, wavelet
 from codeloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mixing": op5_mixing,
     "op6_wavelet_shards": op6_wavelet_shards,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_html_extraction": op10_html_extraction,
@@ -61,4 +66,5 @@ ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_sharding": sharding.ORACLE,
+    "op7_lm_scoring": lm_score.ORACLE,
 }
