@@ -61,6 +61,8 @@ def fingerprints(texts: pa.Array) -> pa.Array:
         doc = np.repeat(np.arange(len(n)), n)
         pair = h.copy()
         pair[:-1] = mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
+        lone = bound[1:][n == 1] - 1
+        pair[lone] = mix(h[lone])
         keep = np.ones(len(h), bool)
         keep[bound[1:][n > 1] - 1] = False  # a text's last word opens no pair, unless it is the only one
         key = (doc[keep].astype(np.uint64) << np.uint64(40)) | (pair[keep] >> np.uint64(24))
@@ -218,10 +220,10 @@ def near_edges(nodes: DataFrame, n: int, distance: int = DISTANCE, target: float
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE, target: float = TARGET) -> DataFrame:
     """The rows that stay, with the columns of ``docs``."""
     removed, several = near_rows(docs, text, key, distance, target)
-    k, h = fresh(docs, "key", "hash")
+    k, h, k2, h2 = fresh(docs, "key", "hash", "key_of", "hash_of")
     marked = docs.withColumn(k, ref(key)).withColumn(h, F.xxhash64(ref(text)))
-    gone, more = (x.select(F.col("k").alias(f"{k}2"), F.col("h").alias(f"{h}2")) for x in (removed, several))
-    on = F.col(k).eqNullSafe(F.col(f"{k}2")) & (F.col(h) == F.col(f"{h}2"))
+    gone, more = (x.select(F.col("k").alias(k2), F.col("h").alias(h2)) for x in (removed, several))
+    on = F.col(k).eqNullSafe(F.col(k2)) & (F.col(h) == F.col(h2))
     out = join_checked(marked, gone.unionByName(more), on, "left_anti", 48)
     if more.count():
         once = join_checked(marked, more, on, "left_semi", 48).dropDuplicates([k, h])
