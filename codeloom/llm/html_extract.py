@@ -167,10 +167,10 @@ def site_nodes(pages: DataFrame) -> DataFrame:
 
 
 def importance(nodes: DataFrame, decay: float = DECAY) -> DataFrame:
-    """(site, element, above, comp, most) of every element node; most: the largest at or below it."""
+    """(site, element, above, leaf, comp, most) of every element node; most: the largest at or below it."""
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return nodes.select("site", "element", "above", F.lit(0.0).alias("comp"), F.lit(0.0).alias("most"))
+        return nodes.select("site", "element", "above", "leaf", F.lit(0.0).alias("comp"), F.lit(0.0).alias("most"))
     sites = nodes.filter("depth = 0").groupBy("site").agg(F.sum("c").alias("pages"))
     nodes = cut(nodes.join(sites, "site"))
     done, styles, log = None, None, F.log(F.col("c").cast("double"))
