@@ -63,7 +63,7 @@ def go_embeds(ls: DataFrame) -> DataFrame:
     go = go.withColumn("least", F.min("depth").over(inner.rowsBetween(Window.unboundedPreceding, -1)))
     go = go.withColumn("implementor", F.first(F.when(F.col("start"), F.regexp_extract(t, pattern, 1)), True).over(inner)).withColumn("at", F.first("line").over(inner))
     word = F.regexp_extract(t, r"^(\S+)", 1)
-    return go.filter(~F.col("start") & (F.col("least") > 0) & (word != "")).select("implementor", word.alias("interface"), F.lit("implements").alias("kind"), "language", "path", F.col("at").alias("line"))
+    return go.filter(~F.col("start") & (F.col("least") > 0) & (word != "") & (word != "}")).select("implementor", word.alias("interface"), F.lit("implements").alias("kind"), "language", "path", F.col("at").alias("line"))
 
 
 def implements(lines: DataFrame, wanted: str, fuzzy: bool = False, trait_only: bool = False) -> DataFrame:
