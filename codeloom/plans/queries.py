@@ -142,7 +142,7 @@ def _(spark, sf):
 @query("J1_enclosing_symbol", _ALL + " select c.path, c.line, c.call_name, s.name as enclosing, s.ordinal as enclosing_ordinal from c left join s on s.path = c.path and c.line between s.line_start and s.line_end")
 def _(spark, sf):
     _, _, s, c = A.code(spark, sf)
-    return enclosing(c, s).select("path", "line", "call_name", F.col("enc.sname").alias("enclosing"), F.col("enc.sordinal").alias("enclosing_ordinal"))
+    return enclosing(c.drop("context"), s).select("path", "line", "call_name", F.col("enc.sname").alias("enclosing"), F.col("enc.sordinal").alias("enclosing_ordinal"))
 
 
 @query("J2_first_definitions", f"with {_FILES}, {_LINES}, {_SYMBOLS}, {_FIRST} select name, dpath as path, dordinal as ordinal, dtype as symbol_type from d")

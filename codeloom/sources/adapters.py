@@ -43,10 +43,11 @@ def symbols(lines: DataFrame) -> DataFrame:
 
 
 def calls(lines: DataFrame) -> DataFrame:
+    """A line's words after the first, each once, in their order; no shuffle."""
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    w = lines.select("path", "line", F.posexplode(words).alias("pos", "call_name"), F.col("text").alias("context")).filter("pos > 0")
-    first = w.groupBy("path", "line", "call_name").agg(F.min("pos").alias("pos"), F.first("context").alias("context"))
-    return first.select("path", (F.col("line") * 100_000 + F.col("pos")).cast("int").alias("ordinal"), "call_name", "line", "context")
+    names = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
+    w = lines.select("path", "line", F.posexplode(names).alias("pos", "call_name"), F.col("text").alias("context"))
+    return w.select("path", (F.col("line") * 100_000 + F.col("pos")).cast("int").alias("ordinal"), "call_name", "line", "context")
 
 
 def code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
