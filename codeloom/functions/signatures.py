@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRIMITIVES = """i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str String Vec Option Result Box Rc Arc HashMap HashSet BTreeMap
-int float complex bytes list dict set tuple None Optional List Dict Set Tuple Any Union number string boolean void null undefined never unknown object Array Map
-Promise Record byte rune error int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 short long double Integer Long
-Double Float Boolean Byte Short Character Object ArrayList HashMap unsigned signed size_t FILE""".split()
+#: Names that are never looked up.
+PRIMITIVES = """
+Any Arc Array BTreeMap BTreeSet Boolean Box Byte Character Dict Double Float HashMap HashSet
+Integer List Long Map Object Option Optional Promise Rc Result Set Short String Tuple
+Union Vec bool boolean byte char dict double error f32 f64 float i128 i16
+i32 i64 i8 int isize list long null number object rune set short signed
+str string tuple u128 u16 u32 u64 u8 undefined unsigned usize void
+""".split()
 
 
 def split_top(s: Column, sep: str = ",") -> Column:

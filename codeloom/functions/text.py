@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "java": "java", "go": "go", "c": "c", "h": "c", "md": "markdown"}
 TYPE_CODES = {"function": "f", "class": "c", "method": "m", "enum": "e", "static": "s", "heading": "h", "code_block": "cb", "interface": "if", "type": "ty"}
-SINGULAR = {t: t for t in TYPE_CODES} | {"codeblock": "code_block", "fn": "function"}
-PLURALS = {"functions": "function", "classes": "class", "methods": "method", "enums": "enum", "statics": "static", "headings": "heading", "code_blocks": "code_block", "codeblocks": "code_block", "interfaces": "interface", "types": "type"}
+_ALIASES = {"function": "func fn", "static": "staticfield", "heading": "header", "code_block": "codeblock", "type": "typealias type_alias", "class": "", "method": "", "enum": "", "interface": ""}
+SINGULAR = {a: t for t, more in _ALIASES.items() for a in (t, *more.split())}
+PLURALS = {{"class": "classes"}.get(a, "typealiases" if a == "typealias" else "type_aliases" if a == "type_alias" else a + "s"): t for a, t in SINGULAR.items()}
 DOCS = ("heading", "code_block")
 
 
@@ -70,17 +71,41 @@ def is_test_file(path: Column, lang: Column | None = None) -> Column:
     )
 
 
-def is_test_symbol(name: Column, lang: Column, definition: Column, annotated: Column | None = None) -> Column:
-    """Test by name, or by an attribute: Rust looks at the definition line only, Java at the line's
-    annotations and those right above (``annotated``)."""
-    above = F.lit(False) if annotated is None else F.coalesce(annotated, F.lit(False))
-    line = F.coalesce(F.trim(definition), F.lit(""))
+#: Marks of a test, and the lines that a search for one passes over, by language.
+TEST_MARKS = {"rust": (("#[test]", "#[tokio::test]"), "#["), "java": (("@Test",), "@")}
+
+
+def has_test_mark(lang: Column, upward: Column) -> Column:
+    """A test's mark on the definition line or above, from ``upward``: the lines from there to the top.
+
+    The search ends at the first line that is neither blank nor a mark nor a comment, which for a
+    plain definition is the definition line itself.
+    """
+
+    def scan(marks: tuple[str, ...], opening: str) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            found = F.lit(False)
+            for m in marks:
+                found = found | x.contains(m)
+            line = F.trim(x)
+            return F.struct((a["go"] & ((line == "") | line.startswith(opening) | line.startswith("//"))).alias("go"), (a["hit"] | (a["go"] & found)).alias("hit"))
+
+        return F.aggregate(upward, F.struct(F.lit(True).alias("go"), F.lit(False).alias("hit")), step)["hit"]
+
+    out = F
+    for k, (marks, opening) in TEST_MARKS.items():
+        out = out.when(lang == k, scan(marks, opening))
+    return out.otherwise(F.lit(False))
+
+
+def is_test_symbol(name: Column, lang: Column, marked: Column) -> Column:
+    """Test by a mark, or by its name."""
     return (
-        F.when(lang == "rust", line.contains("#[test]") | line.contains("#[tokio::test]") | name.startswith("test_"))
+        F.when(lang == "rust", marked | name.startswith("test_"))
         .when(lang == "python", name.startswith("test_") | name.startswith("Test"))
         .when(lang.isin("javascript", "typescript"), name.startswith("test") | name.startswith("Test") | name.isin("it", "describe"))
         .when(lang == "go", name.startswith("Test") | name.startswith("Benchmark"))
-        .when(lang == "java", line.contains("@Test") | above | name.startswith("test"))
+        .when(lang == "java", marked | name.startswith("test"))
         .otherwise(F.lit(False))
     )
 
@@ -90,8 +115,10 @@ def exported_by_definition(name: Column, lang: Column, definition: Column) -> Co
     line = F.coalesce(definition, F.lit(""))
     start = F.ltrim(line)
     rust = F.lit(False)
-    for word in ("fn", "struct", "enum", "trait", "const", "static", "async", "mod"):
+    for word in ("async fn", "const", "enum", "fn", "static", "struct", "trait", "type"):
         rust = rust | start.startswith(f"pub {word}")
+    for limited in ("crate", "self", "super"):
+        rust = rust & ~line.contains(f"pub({limited})")
     script = line.contains("export ") | line.contains("module.exports") | line.contains("exports.")
     return (
         F.when(lang == "rust", rust)
@@ -104,7 +131,7 @@ def exported_by_definition(name: Column, lang: Column, definition: Column) -> Co
 
 
 MAIN_WORDS = ("main", "run", "start", "init", "execute", "cli", "app")
-API_WORDS = ("get", "set", "create", "update", "delete", "add", "remove", "find", "search", "list", "load", "save", "read", "write", "parse", "build", "make", "handle", "process", "validate", "check")
+API_WORDS = tuple("api create delete endpoint export fetch get handle import list parse patch post process put read route serve transform update validate".split())
 
 
 def entrypoint_category(name: Column, kind: Column) -> Column:

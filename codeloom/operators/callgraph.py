@@ -66,19 +66,17 @@ def callees(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = Fal
 
 
 def definition_lines(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """symbols with language, definition (the text of their first line) and annotated: whether a
-    test annotation stands right above, over annotation lines only."""
-    ls = X.lines(F.col("content"))
-    above = F.reverse(F.slice(F.col("ls"), 1, F.greatest(F.col("line_start") - 1, F.lit(0))))
-    fold = F.aggregate(above, F.struct(F.lit(True).alias("go"), F.lit(False).alias("hit")), lambda a, x: F.struct((a["go"] & F.trim(x).startswith("@")).alias("go"), (a["hit"] | (a["go"] & F.trim(x).startswith("@Test"))).alias("hit")))
-    with_lines = symbols.join(files.select("path", "language", ls.alias("ls")), "path", "left")
-    return with_lines.withColumn("definition", F.get(F.col("ls"), F.col("line_start") - 1)).withColumn("annotated", F.when(F.col("language") == "java", fold["hit"]).otherwise(F.lit(False))).drop("ls")
+    """symbols with language, definition (the text of their first line) and marked: whether a test's
+    mark stands there."""
+    with_lines = symbols.join(files.select("path", "language", X.lines(F.col("content")).alias("ls")), "path", "left")
+    upward = F.reverse(F.slice(F.col("ls"), 1, F.greatest(F.col("line_start"), F.lit(0))))
+    return with_lines.withColumn("definition", F.get(F.col("ls"), F.col("line_start") - 1)).withColumn("marked", F.coalesce(X.has_test_mark(F.col("language"), upward), F.lit(False))).drop("ls")
 
 
 def test_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbols with language and is_test."""
     d = definition_lines(symbols, files)
-    return d.withColumn("is_test", X.is_test_symbol(F.col("name"), F.col("language"), F.col("definition"), F.col("annotated")))
+    return d.withColumn("is_test", X.is_test_symbol(F.col("name"), F.col("language"), F.col("marked")))
 
 
 def tests_of(symbols: DataFrame, calls: DataFrame, files: DataFrame, wanted: str, fuzzy: bool = False) -> DataFrame:

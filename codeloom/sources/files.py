@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.relations import with_facts
 
-IGNORED = (".git", "node_modules", "target", "__pycache__", "dist", "build", ".idea")
+IGNORED = (".codeloom", ".git", "__pycache__", "build", "dist", "node_modules", "target")
 EXTENSIONS = ("py", "js", "ts", "jsx", "tsx", "rs", "java", "go", "c", "h", "md")
 
 

@@ -152,6 +152,20 @@ def test_lines(spark):
     assert get("") == [] and get("a\r\nb\n") == ["a", "b"] and get("a\n\n") == ["a", ""] and get("\n") == [""]
 
 
+def test_test_marks(spark):
+    java = "class A {\n  @Test\n  public void one() {}\n  @Override\n  // note\n  public void two() {}\n  // @Test in words\n\n  @Test\n  @Slow\n  void three() {}\n  void testFour() {}\n}\n"
+    rust = "#[test] fn a() {}\n#[test]\nfn b() {}\nfn test_c() {}\n"
+    files = spark.createDataFrame([("A.java", "java", java, 1, "h"), ("a.rs", "rust", rust, 1, "h")], "path string, language string, content string, size long, hash string")
+    x = CodeIndex.of_files(files)
+    got = {r.name: r.is_test for r in callgraph.test_symbols(x.symbols, x.files).collect()}
+    assert {n for n, t in got.items() if t} == {"one", "three", "testFour", "a", "test_c"}
+
+
+def test_words_and_aliases():
+    assert X.SINGULAR["fn"] == "function" and X.PLURALS["funcs"] == "function" and X.PLURALS["classes"] == "class" and X.PLURALS["type_aliases"] == X.PLURALS["types"] == "type" and X.PLURALS["headers"] == "heading"
+    assert len(X.API_WORDS) == 21 and len(X.MAIN_WORDS) == 7
+
+
 def test_history(index):
     d = {(r.change_type, r.name) for r in index.diff("HEAD~2").collect()}
     assert ("deleted", "old") in d and ("deleted", "vanished") in d and not any(n == "load" for _, n in d)
