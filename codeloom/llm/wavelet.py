@@ -20,7 +20,7 @@ import base64
 import json
 import re
 import struct
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from codeloom.llm.common import ref
 SHARD_TOKENS = 4 << 20
 MAGIC = b"CLWM0001"
 _BLOCK = 8  # words of 64 bits to an entry of the rank directory
-_CACHE = 200_000
+_CACHE = 400_000
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -47,14 +47,22 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 class _Pieces(dict):
-    """Ids of a space and the piece after it; emptied when full, which changes time only."""
+    """Packed ids of a space and the piece after it; emptied when full, which changes time only."""
 
-    def __init__(self, encode):
+    def __init__(self, plain: tiktoken.Encoding, code: str):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode(" " + piece))
+        # the calls below the public ones, without their handling of lone surrogates
+        self.whole, self.single, self.code = plain._core_bpe.encode_ordinary, plain._core_bpe.encode_single_piece, code
+
+    def __missing__(self, piece: str) -> bytes:
+        if type(piece) is tuple:  # a mark right after a word, without the space
+            ids = array(self.code, self.single(piece[0].encode())).tobytes()
+        elif piece.isalpha() and max(piece) < "\u0250":  # a run of letters is one match of the pattern
+            ids = array(self.code, self.single((" " + piece).encode())).tobytes()
+        elif piece.endswith((".", ",")) and piece[:-1].isalpha() and max(piece) < "\u0250":
+            return self[piece[:-1]] + self[piece[-1:], None]
+        else:
+            ids = array(self.code, self.whole(" " + piece)).tobytes()
         if len(piece) <= 40:
             if len(self) >= _CACHE:
                 self.clear()
@@ -76,7 +84,8 @@ class Encoder:
         self.plain = tiktoken.Encoding("shard", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.pieces = _Pieces(self.plain.encode_ordinary)
+        self.code = "H" if self.kind is np.uint16 else "I"
+        self.pieces = _Pieces(self.plain, self.code)
         self.double = re.compile(r"\s\s")
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -85,9 +94,8 @@ class Encoder:
         if self.double.search(text):
             return np.array(self.plain.encode_ordinary(text), self.kind)
         head, *rest = text.split(" ")
-        ids = self.plain.encode_ordinary(head)
-        ids.extend(chain.from_iterable(map(self.pieces.__getitem__, rest)))
-        return np.array(ids, self.kind)
+        first = array(self.code, self.plain.encode_ordinary(head)).tobytes()
+        return np.frombuffer(first + b"".join(map(self.pieces.__getitem__, rest)), self.kind)
 
 
 def encoder(path: str, pattern: str) -> Encoder:
