@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240501)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _IS_WORD = np.zeros(256, dtype=bool)
@@ -38,19 +38,24 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows in lower case; null rows are empty."""
+    """(first row, bytes, offsets) of runs of rows in lower case; null rows are empty.
+
+    Only one run at a time is copied, so a batch needs little more memory than itself.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     n = len(texts)
     if not n:
         return
-    off = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    wide = pa.types.is_large_string(texts.type)
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1]
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
-        yield at, data[off[at] : off[end]], off[at : end + 1] - off[at]
+        end = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + most, side="right")) - 1)
+        part = pc.utf8_lower(pc.fill_null(texts.slice(at, end - at).cast(pa.large_string()), ""))
+        off = np.frombuffer(part.buffers()[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2], dtype=np.uint8) if part.buffers()[2] is not None else np.zeros(0, np.uint8)
+        yield at, data[off[0] : off[-1]], off - off[0]
         at = end
 
 
