@@ -48,7 +48,7 @@ LEAST = 2
 ORDERS = 3
 BLOCK_WORDS = 2 << 20
 #: N-grams that a hash partition is expected to receive.
-PARTITION_GRAMS = 8 << 20
+PARTITION_GRAMS = 4 << 20
 _BITS = 56
 
 
