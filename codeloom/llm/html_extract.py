@@ -3,7 +3,8 @@
 The pages of a host are merged into one tree. An element node stands for one place of the layout; its
 style nodes are the child sequences (tags with classes) seen there, each with the number of pages;
 the children of a style node are element nodes again. Leaves hold content: their features are the
-texts (or image sources) seen there.
+texts (or image sources) seen there. Pages are counted by content: copies, whose trees are equal in
+tags, classes and texts, are one page, so no number of them makes an article a template.
 
 Importance, from the leaves up, with m pages through a node and M pages of the site:
   leaf            1 - mean over features of log(pages with the feature) / log(M + ``PSEUDO``)
@@ -16,13 +17,14 @@ A node is noisy if it and everything below it stay under ``LEAST``. The topmost
 branches removed from every page; the text of what stays is returned.
 
 Plan: pages are parsed where they are read into rows of 64-bit node keys, which combine on the map
-side, so a template costs one row a task however many pages use it; the tree is then folded level
+side, so a template costs one row a task however many pages use it (a first pass moves a hash a page
+to find the copies); the tree is then folded level
 by level with sums only (no list of pages, no group in one task, so a hot host is no skew). The keys
 of a site's noisy branches, a few for each template, come back to the pages; the pages are not shuffled
 unless those keys outgrow the broadcast limit.
 
 Defined results: null html gives null text, empty html an empty text; a null or unparsable url
-belongs to the host ''; every row counts as a page, repeated ones too; broken markup is repaired as
+belongs to the host ''; every row gives a text, repeated ones too; broken markup is repaired as
 far as open tags allow. Comments, scripts, styles and the head are never text. Extra columns are not
 read and may have any name; an empty table gives no rows.
 """
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import BROADCAST_BYTES, cut, ref
+from codeloom.llm.common import BROADCAST_BYTES, cut, join_checked, ref
 
 LEAST = 0.75
 PSEUDO = 20
@@ -149,21 +151,49 @@ def host(url: Column) -> Column:
 _NODES = "site long, element long, style long, above long, depth int, leaf boolean"
 
 
+def _content(root: Node) -> int:
+    """Key of a page's tree: what is the same for pages that differ only in what is never text."""
+    parts: list = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        parts += (node.sig, len(node.kids), " ".join(node.text.split()))
+        todo.extend(reversed(node.kids))
+    return _key(*parts)
+
+
+def copies(pages: DataFrame) -> DataFrame:
+    """(site, h, n) of the pages of ``pages(site, html, h)`` whose content stands on n > 1 pages of their site."""
+
+    def run(batches):
+        for batch in batches:
+            site, source, h = batch.columns
+            yield pa.RecordBatch.from_arrays([site, pa.array([_content(parse(x.as_py())) for x in source], pa.int64()), h], names=["site", "content", "h"])
+
+    rows = pages.select("site", "html", "h").mapInArrow(run, "site long, content long, h long")
+    same = rows.groupBy("site", "content").agg(F.count(F.lit(1)).alias("n"), F.collect_set("h").alias("hs")).filter("n > 1")
+    # equal html has equal content, so each h occurs once a site
+    return same.select("site", F.explode("hs").alias("h"), "n")
+
+
 def site_nodes(pages: DataFrame) -> DataFrame:
-    """Counted rows of the site style trees of ``pages(site, html)``."""
+    """Counted rows of the site style trees of ``pages(site, html)``; c is the number of distinct pages."""
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for site, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            cols: list[list] = [[], [], [], [], [], [], []]
+            for site, source, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for element, style, above, depth, leaf, _ in _walk(parse(source.as_py()), site):
-                    for c, x in zip(cols, (site, element, style, above, depth, leaf), strict=True):
+                    for c, x in zip(cols, (site, element, style, above, depth, leaf, 1 / n), strict=True):
                         c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["site", "element", "style", "above", "depth", "leaf"])
-
-    rows = pages.filter(F.col("html").isNotNull()).select("site", "html").mapInArrow(run, _NODES)
-    return rows.groupBy("site", "element", "style", "above", "depth", "leaf").agg(F.count(F.lit(1)).alias("c"))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["site", "element", "style", "above", "depth", "leaf", "w"])
+
+    pages = pages.filter(F.col("html").isNotNull()).select("site", "html", F.xxhash64("html").alias("h"))
+    counted = join_checked(pages, cut(copies(pages)), ["site", "h"], "left", 24, BROADCAST_BYTES).select("site", "html", F.coalesce("n", F.lit(1)).alias("n"))
+    rows = counted.mapInArrow(run, f"{_NODES}, w double")
+    # the n copies of a page weigh 1/n each; their sum is a whole number but for the last digits
+    return rows.groupBy("site", "element", "style", "above", "depth", "leaf").agg(F.round(F.sum("w")).cast("long").alias("c"))
 
 
 def importance(nodes: DataFrame, decay: float = DECAY) -> DataFrame:

@@ -135,3 +135,15 @@ def test_hosts(spark):
     urls = ["http://A.example:80/x", "https://u:p@b.example/?q", "ftp://c.example#f", "nothing", None, ""]
     got = [r.h for r in spark.createDataFrame([(u,) for u in urls], "u string").select(H.host(F.col("u")).alias("h")).collect()]
     assert got == ["a.example", "b.example", "c.example", "", "", ""]
+
+
+@pytest.mark.parametrize("n", [4, 60, 320])
+def test_copies_are_no_template(spark, n):
+    page = "<html><head><link rel='canonical' href='{u}'></head><body><nav><a>Home</a><a>News</a></nav><article>{b}</article><footer>All rights reserved</footer></body></html>"
+    rows = [(i, f"http://h{c}.example/{i}", page.format(u=i, b=f"<h1>Title {i}</h1><p>Unique {i}.</p>"), "x", 1) for c in (3, 9, 100) for i in range(n)]
+    rows += [(1000 + k, f"http://h{c}.example/copy{k}", page.format(u=f"copy{k}", b="<h1>Copied</h1><p>one</p><ul><li>two</li></ul><p>three</p>"), "x", 1) for c in (3, 9, 100) for k in range(c)]
+    got = [(r.page_id, r.text) for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(rows)
+    for i, t in got:
+        assert (t.split("\n")[-4:] if n > 4 else [x for x in t.split("\n") if x in ("Copied", "one", "two", "three")]) == ["Copied", "one", "two", "three"] if i >= 1000 else f"Unique {i}." in t
+        assert n == 4 or "Home" not in t and "rights" not in t
