@@ -49,6 +49,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\
 _CLASS = re.compile(r"(?:^|\s)class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SRC = re.compile(r"(?:^|\s)(?:src|data|value)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SKIP = {"br", "wbr", "hr", "meta", "link", "base", "area", "col", "param", "source", "track"}
+#: What may stand in the head; anything else, or text, ends it.
+_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "script", "style", "noscript", "template", "noframes"}
 _LEAF = {"img", "input", "embed"}
 _RAW = {"script", "style", "noscript", "template", "iframe", "title", "textarea", "svg"}
 _BLOCK = set("address article aside blockquote div dl dd dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table tbody thead tfoot tr td th ul body html".split())
@@ -75,7 +77,8 @@ def parse(source: str) -> Node:
         if tag is None:
             text = m.group()
             if text[0] != "<" or text == "<":
-                if not head and not text.isspace():
+                if not text.isspace():
+                    head = False
                     stack[-1].kids.append(Node("#text", "#text", text))
             continue
         tag = tag.lower()
@@ -88,7 +91,9 @@ def parse(source: str) -> Node:
                         del stack[k:]
                         break
             continue
-        if tag in _RAW:
+        if tag not in _HEAD and tag not in ("head", "html"):
+            head = False
+        if tag in _RAW or head and tag == "noframes":
             if not m.group(3).endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else n
@@ -97,7 +102,6 @@ def parse(source: str) -> Node:
             head = True
             continue
         if tag in ("body", "html"):
-            head = head and tag == "html"
             continue
         if tag in _SKIP or head:
             continue

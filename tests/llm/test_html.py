@@ -147,3 +147,17 @@ def test_copies_are_no_template(spark, n):
     for i, t in got:
         assert (t.split("\n")[-4:] if n > 4 else [x for x in t.split("\n") if x in ("Copied", "one", "two", "three")]) == ["Copied", "one", "two", "three"] if i >= 1000 else f"Unique {i}." in t
         assert n == 4 or "Home" not in t and "rights" not in t
+
+
+def test_head_without_end_tag(spark):
+    for source, want in {
+        "<html><head><title>T</title><p>text<p>more": ["text", "more"],
+        "<head><meta charset=x><link rel=y><script>s</script>bare <b>text</b>": ["bare ", "text"],
+        "<head><style>p{}</style><!-- c -->\n<div>in</div></head><body><p>body</p>": ["in", "body"],
+        "<head><title>T</title></head><body>x": ["x"],
+        "<head><noframes>no</noframes><title>T</title></head><body>x": ["x"],
+        "<head><title>T</title><noscript><img></noscript>\n</head>\n<body><p>x": ["x"],
+    }.items():
+        assert _texts(H.parse(source)) == want
+    got = H.extract_text(spark.createDataFrame([(1, "http://a.example/", "<html><head><title>T</title><p>text<p>more", "x", 1)], SCHEMA)).first()
+    assert got.text == "text\nmore"
