@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import pii
 
@@ -26,11 +27,11 @@ def test_candidates_and_positions():
 
 
 def test_prefilter_holds_every_candidate():
-    import re
+    import regex
 
     for text in TEXTS.values():
         for a, b, *_ in pii.spans(text):
-            assert re.search(pii.PREFILTER, text[a:b])
+            assert regex.search(pii.PREFILTER, text[a:b])
 
 
 def test_checksums():
@@ -133,14 +134,69 @@ WHOLE = {'"password": "abcdefgh12345"': 'password": "abcdefgh12345"', "tel 030 1
 
 
 def test_common_forms(spark, corpus):
-    import re
+    import regex
 
     rows = [(3000 + i, f"It was {t} there.", 1, 2, kind) for i, (kind, t) in enumerate((k, t) for k, ts in FORMS.items() for t in ts)]
     for _, text, _, _, kind in rows:
         want = text[7:-7]
         assert (kind, WHOLE.get(want, want)) in [(k, text[a:b]) for a, b, k, *_ in pii.spans(text)], text
-        assert re.search(pii.PREFILTER, text)
+        assert regex.search(pii.PREFILTER, text)
     bare = [(4000 + i, f"see std::vector a::b on 2024-01-15 or 01-02-2024, token: none, {i}00 000", 1, 2, "x") for i in range(5)]
     got = pii.find_pii(corpus.union(spark.createDataFrame(rows + bare, corpus.schema))).filter("doc_id >= 3000").collect()
     found = {(r.doc_id, r.kind) for r in got}
     assert found == {(i, kind) for i, _, _, _, kind in rows}
+
+
+def test_prefilter_is_true_of_random_texts_with_candidates(spark):
+    """Spark's own predicate, over texts of pieces that candidates are made of, in digits of several scripts."""
+    rng = np.random.default_rng(7)
+    pieces = ["+٤٩ ٣٠ ١٢٣٤ ٥٦٧٨", "१२३-४५-६७८९", "𖭐𖭑𖭒.1.2.3", "ghp_abcdefghijkl", "A-B_C" * 6, "x@y", "é@ü.de", "key", "token", "=", ":", " ", "'", '"', "tel ", "０１２", "fe80::1", "abcdefghijklm", "_", "-", "ABCDEFGHIJKLMNOPQRSTU", ".", "\n", "eyJabcde.eyJ", "DE89 3704"]
+    texts = sorted({"".join(pieces[i] for i in rng.integers(0, len(pieces), int(rng.integers(1, 7)))) for _ in range(4000)})
+    got = {r.t: r.ok for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(pii.PREFILTER).alias("ok")).collect()}
+    with_candidates = [t for t in texts if any(True for _ in pii.spans(t))]
+    assert len(with_candidates) > 500 and all(got[t] for t in with_candidates)
+    assert ("phone", pieces[0]) in [(k, pieces[0][a:b]) for a, b, k, *_ in pii.spans(pieces[0])]
+
+
+@pytest.mark.parametrize("unit", ["a", "aB3/", "A-", "a@", "a-", "password", "password=", "1", "x.", "eyJaaaaa.", "(", "=", "_.", "token-", "+", "::", "pass_"])
+def test_long_runs_take_linear_time(unit):
+    """A text without a space costs its length, not its square: ten times the text, about ten times the time."""
+    import time
+
+    def took(n):
+        t = (unit * n)[:n]
+        began = time.process_time()
+        k = sum(1 for _ in pii.spans(t))
+        return time.process_time() - began, k
+
+    took(20_000)
+    small, large = took(20_000), took(200_000)
+    assert large[0] < 0.3 + 25 * small[0] + 2e-4 * large[1]
+
+
+def test_a_megabyte_without_a_space():
+    import time
+
+    rng = np.random.default_rng(3)
+    text = "".join(np.array([*"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])[rng.integers(0, 64, 1_000_000)])
+    began = time.process_time()
+    assert not list(pii.spans(text))
+    assert time.process_time() - began < 2
+
+
+def test_words_before_are_whole():
+    for gap in (1, 39, 40, 41, 63, 64, 65, 200, 5000):
+        text = "my telephone" + " " * gap + "+49 30 1234 5678"
+        assert next(v for *_, kind, v, _ in pii.spans(text) if kind == "phone")[2] == 0
+        text = "my phone" + " " * gap + "+49 30 1234 5678"
+        assert next(v for *_, kind, v, _ in pii.spans(text) if kind == "phone")[2] == 1
+    assert pii.Words("x" * 1000 + " phone " + "y" * 500 + "!" + "z" * 90).before(1598) == ["phone", "y" * 64, "z" * 64]
+
+
+def test_names_and_values_of_any_length():
+    name, value = "a" * 60 + "_password", "hunter2!" * 600
+    for text in (f"so {name}={value} it", f'so {name}="{value}" it', f"so {'b' * 80} = abcdefgh12345 it"):
+        a, b = 3, len(text) - 3
+        assert ("secret", a, b) in [(k, x, y) for x, y, k, *_ in pii.spans(text)]
+    two = "password=abcdef1;x db_password=ghijkl2 token=aa password=token=abc123"
+    assert {two[a:b] for a, b, k, *_ in pii.spans(two) if k == "secret"} == {"password=abcdef1", "db_password=ghijkl2", "token=abc123"}
