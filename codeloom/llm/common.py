@@ -43,15 +43,29 @@ def orderable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType, T.NullType))
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Join with a side that is small only if its counted size says so.
+def counted_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``: 16 a column and row, and the length of every string and binary value, of any nesting."""
+    size: Column = F.lit(16 * max(1, len(df.columns)))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(ref(f.name)), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(ref(f.name)))), F.lit(0))
+    return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
 
-    ``small`` must be cheap to read again (checkpointed). Up to ``limit`` bytes it is broadcast;
-    beyond, both sides are shuffled on the key. The rows are the same either way.
+
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its counted bytes are within the limit, else for a merge join."""
+    return F.broadcast(df) if counted_bytes(df) <= (BROADCAST_BYTES if limit is None else limit) else df.hint("merge")
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str] | Column, how: str, limit: int | None = None) -> DataFrame:
+    """Join with a side that is small only if its counted bytes say so.
+
+    ``small`` must be cheap to read again (checkpointed, or made of rows of the driver). Up to ``limit``
+    bytes it is broadcast; beyond, both sides are shuffled on the key. The rows are the same either way.
     """
-    if small.count() * row_bytes <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small.hint("merge"), on, how)
+    return big.join(small_side(small, limit), on, how)
 
 
 def words(text: Column) -> Column:
@@ -64,4 +78,4 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-__all__ = ["BROADCAST_BYTES", "cut", "fresh", "join_checked", "n_words", "orderable", "ref", "table", "words"]
+__all__ = ["BROADCAST_BYTES", "counted_bytes", "cut", "fresh", "join_checked", "small_side", "n_words", "orderable", "ref", "table", "words"]

@@ -32,8 +32,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", hasher
     spark_cols = docs.columns
     hashed = docs.withColumn(h, hasher(ref(text)))
     repeated = cut(hashed.filter(ref(text).isNotNull()).groupBy(h).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).select(h))
-    single = join_checked(hashed, repeated, h, "left_anti", 48).select(*map(ref, spark_cols))
-    many = join_checked(hashed.filter(ref(text).isNotNull()), repeated, h, "left_semi", 48)
+    single = join_checked(hashed, repeated, h, "left_anti").select(*map(ref, spark_cols))
+    many = join_checked(hashed.filter(ref(text).isNotNull()), repeated, h, "left_semi")
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     others = [c for c in spark_cols if c not in (text, key)]
     parts = [ref(key).isNull(), ref(key), *(ref(c) for c in others if orderable(kinds[c]))]

@@ -18,14 +18,20 @@ branches removed from every page; the text of what stays is returned.
 
 Plan: pages are parsed where they are read into rows of 64-bit node keys, which combine on the map
 side, so a template costs one row a task however many pages use it (a first pass moves a hash a page
-to find the copies); the tree is then folded level
-by level with sums only (no list of pages, no group in one task, so a hot host is no skew). The keys
-of a site's noisy branches, a few for each template, come back to the pages; the pages are not shuffled
-unless those keys outgrow the broadcast limit.
+to find the copies). What only one page has is of importance 1 all the way down, so only places that
+two pages or more reach are folded, however deep a single page is. An element's importance is its own
+part plus a weighted sum of its children's, so the fold is done by pointer doubling: each round adds
+to every node the sums of the nodes twice as far below, and d levels take log2(d) rounds of sums
+(no list of pages, no group in one task, so a hot host is no skew). The keys of the noisy branches, a
+few for each template, are broadcast as sorted columns; the pages are shuffled only where those
+outgrow the broadcast limit.
+
+Parsing is one scan: a '<' that no '>' follows is text; once a quote in a tag is never closed, tags end
+at the first '>' from there on; open elements are found by their tag, not by going through them.
 
 Defined results: null html gives null text, empty html an empty text; a null or unparsable url
 belongs to the host ''; every row gives a text, repeated ones too; broken markup is repaired as
-far as open tags allow. Comments, scripts, styles and the head are never text. Extra columns are not
+far as open tags allow, to any depth. Comments, scripts, styles and the head are never text. Extra columns are not
 read and may have any name; an empty table gives no rows.
 """
 
@@ -34,6 +40,7 @@ from __future__ import annotations
 import html as _html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -45,7 +52,10 @@ from codeloom.llm.common import BROADCAST_BYTES, cut, join_checked, ref
 LEAST = 0.75
 PSEUDO = 20
 DECAY = 0.9
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN, _LOOSE, _LAST = (
+    re.compile(rf"<!--.*?(?:-->|\Z)|{tag}<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
+    for tag in (r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|", r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|", "()()()(?!)|")
+)
 _CLASS = re.compile(r"(?:^|\s)class\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SRC = re.compile(r"(?:^|\s)(?:src|data|value)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SKIP = {"br", "wbr", "hr", "meta", "link", "base", "area", "col", "param", "source", "track"}
@@ -69,12 +79,32 @@ def parse(source: str) -> Node:
     """The tree of the body: elements, and leaves '#text' and images."""
     root = Node("body", "body")
     stack, at, n, head = [root], 0, len(source), False
-    match = _TOKEN.match
+    opens: dict[str, list[int]] = {}
+    scopes: list[int] = []
+    match, last = _TOKEN.match, source.rfind(">")
+
+    def deepest(*tags: str) -> int:
+        return max((opens[t][-1] for t in tags if opens.get(t)), default=0)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            opens[tag].pop()
+            if tag in _SCOPE:
+                scopes.pop()
+
     while at < n:
+        if at > last:
+            match = _LAST.match
         m = match(source, at)
+        if m.end() == at + 1 and at < last and match == _TOKEN.match and (source[at + 1].isalpha() or source[at + 1] == "/"):
+            if loose := _LOOSE.match(source, at):
+                m = loose
+                if m.end() > at + 1:  # a quote that is never closed
+                    match = _LOOSE.match
         at = m.end()
         tag = m.group(2)
-        if tag is None:
+        if not tag:
             text = m.group()
             if text[0] != "<" or text == "<":
                 if not text.isspace():
@@ -85,11 +115,8 @@ def parse(source: str) -> Node:
         if m.group(1):
             if tag == "head":
                 head = False
-            elif tag not in ("body", "html"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+            elif tag not in ("body", "html") and opens.get(tag):
+                close(opens[tag][-1])
             continue
         if tag not in _HEAD and tag not in ("head", "html"):
             head = False
@@ -105,21 +132,12 @@ def parse(source: str) -> Node:
             continue
         if tag in _SKIP or head:
             continue
-        if tag in _BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in _SCOPE:
-                    break
+        if tag in _BLOCK and (k := deepest("p")) > (scopes[-1] if scopes else 0):
+            close(k)  # a block ends an open paragraph
         if tag in _CLOSED_BY:
             ends, bounds = _CLOSED_BY[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
+            while (k := deepest(*ends)) > deepest(*bounds):
+                close(k)
         c = _CLASS.search(m.group(3)) if m.group(3) else None
         node = Node(tag, f"{tag}.{c.group(1).strip(chr(34) + chr(39))}" if c else tag)
         stack[-1].kids.append(node)
@@ -127,6 +145,9 @@ def parse(source: str) -> Node:
             s = _SRC.search(m.group(3))
             node.text = s.group(1) if s else ""
         elif not m.group(3).endswith("/"):
+            opens.setdefault(tag, []).append(len(stack))
+            if tag in _SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
     return root
 
@@ -136,23 +157,23 @@ def _key(*parts) -> int:
 
 
 def _walk(root: Node, site: int):
-    """(element key, style or feature key, parent's style key, depth, is leaf, node), parents first."""
-    todo = [(root, _key(site), 0, 0)]
+    """(element key, style or feature key, parent's style key or 0, is leaf, node), parents first."""
+    todo = [(root, _key(site), 0)]
     while todo:
-        node, element, above, depth = todo.pop()
+        node, element, above = todo.pop()
         if not node.kids:
-            yield element, _key("f", " ".join(node.text.split())), above, depth, True, node
+            yield element, _key("f", " ".join(node.text.split())), above, True, node
             continue
         style = _key(element, *(k.sig for k in node.kids))
-        yield element, style, above, depth, False, node
-        todo.extend((k, _key(style, i), style, depth + 1) for i, k in enumerate(node.kids))
+        yield element, style, above, False, node
+        todo.extend((k, _key(style, i), style) for i, k in enumerate(node.kids))
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-_NODES = "site long, element long, style long, above long, depth int, leaf boolean"
+_NODES = "site long, element long, style long, above long, leaf boolean"
 
 
 def _content(root: Node) -> int:
@@ -185,56 +206,69 @@ def site_nodes(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for site, source, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                for element, style, above, depth, leaf, _ in _walk(parse(source.as_py()), site):
-                    for c, x in zip(cols, (site, element, style, above, depth, leaf, 1 / n), strict=True):
+                for element, style, above, leaf, _ in _walk(parse(source.as_py()), site):
+                    for c, x in zip(cols, (site, element, style, above, leaf, 1 / n), strict=True):
                         c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["site", "element", "style", "above", "depth", "leaf", "w"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["site", "element", "style", "above", "leaf", "w"])
 
     pages = pages.filter(F.col("html").isNotNull()).select("site", "html", F.xxhash64("html").alias("h"))
-    counted = join_checked(pages, cut(copies(pages)), ["site", "h"], "left", 24, BROADCAST_BYTES).select("site", "html", F.coalesce("n", F.lit(1)).alias("n"))
+    counted = join_checked(pages, cut(copies(pages)), ["site", "h"], "left", BROADCAST_BYTES).select("site", "html", F.coalesce("n", F.lit(1)).alias("n"))
     rows = counted.mapInArrow(run, f"{_NODES}, w double")
     # the n copies of a page weigh 1/n each; their sum is a whole number but for the last digits
-    return rows.groupBy("site", "element", "style", "above", "depth", "leaf").agg(F.round(F.sum("w")).cast("long").alias("c"))
-
-
-def importance(nodes: DataFrame, decay: float = DECAY) -> DataFrame:
-    """(site, element, above, leaf, comp, most) of every element node; most: the largest at or below it."""
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return nodes.select("site", "element", "above", "leaf", F.lit(0.0).alias("comp"), F.lit(0.0).alias("most"))
-    sites = nodes.filter("depth = 0").groupBy("site").agg(F.sum("c").alias("pages"))
-    nodes = cut(nodes.join(sites, "site"))
-    done, styles, log = None, None, F.log(F.col("c").cast("double"))
-    for depth in range(deepest, -1, -1):
-        own = nodes.filter(F.col("depth") == depth)
-        if styles is None:
-            own = own.withColumn("sc", F.lit(None).cast("double")).withColumn("sm", F.lit(None).cast("double"))
-        else:
-            own = own.join(styles, "style", "left")
-        sums = own.groupBy("site", "element", "above", "leaf").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(log).alias("a"), F.sum(F.col("c") * log).alias("b"), F.sum(F.col("c") * F.col("sc")).alias("s"), F.max("sm").alias("x"), F.max("pages").alias("pages"))
-        ln = F.log(F.col("m").cast("double"))
-        content = 1 - F.col("a") / F.col("l") / F.log((F.col("pages") + PSEUDO).cast("double"))
-        shape = F.when(F.col("m") == 1, 1.0).otherwise((ln - F.col("b") / F.col("m")) / ln)
-        g = F.pow(F.lit(decay), F.col("l"))
-        # a place that is a leaf on some pages and not on others is two nodes, by the leaf column
-        level = sums.withColumn("comp", F.when(F.col("leaf"), content).otherwise((1 - g) * shape + g * F.col("s") / F.col("m"))).withColumn("most", F.greatest("comp", "x"))
-        if (deepest - depth) % 6 == 5:
-            level = cut(level)
-        styles = level.groupBy(F.col("above").alias("style")).agg(F.avg("comp").alias("sc"), F.max("most").alias("sm"))
-        level = level.select("site", "element", "above", "leaf", "comp", "most")
-        done = level if done is None else done.unionByName(level)
-    return done
+    return rows.groupBy("site", "element", "style", "above", "leaf").agg(F.round(F.sum("w")).cast("long").alias("c"))
+
+
+def shared_tree(nodes: DataFrame, decay: float = DECAY) -> DataFrame:
+    """(site, element, leaf, up, w, v) of the places that two pages or more reach.
+
+    ``v`` is a place's own part of its importance, that of children on one page only included; ``w`` is
+    its weight in its parent ``up``, an inner element. A place with one page has importance 1.
+    """
+    styles = cut(nodes.filter("c > 1 and not leaf").select(F.col("style").alias("above"), F.col("element").alias("up"), F.col("c").alias("sc")))
+    roots = nodes.filter("above = 0").withColumn("up", F.lit(None).cast("long")).withColumn("sc", F.lit(None).cast("long"))
+    met = join_checked(nodes, styles, "above", "inner").unionByName(roots)
+    log = F.log(F.col("c").cast("double"))
+    sums = (F.sum("c").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(log).alias("a"), F.sum(F.col("c") * log).alias("b"), F.sum((F.col("c") == 1).cast("long")).alias("ones"))
+    places = cut(met.groupBy("site", "element", "above", "leaf", "up", "sc").agg(*sums))
+    m, ln = F.col("m").cast("double"), F.log(F.col("m").cast("double"))
+    g = F.pow(F.lit(decay), F.col("l"))
+    shape = F.when(F.col("m") > 1, (ln - F.col("b") / m) / ln).otherwise(1.0)
+    sites = places.filter("above = 0").groupBy("site").agg(F.sum("m").alias("pages"))
+    # a place that is a leaf on some pages and not on others is two nodes, by the leaf column
+    kids = places.filter("above <> 0").groupBy("above").agg(F.count(F.lit(1)).alias("kids"))
+    inner = places.filter("not leaf").select(F.col("element").alias("up"), g.alias("pg"), F.col("m").alias("pm"))
+    content = 1 - F.col("a") / F.col("l") / F.log((F.col("pages") + PSEUDO).cast("double"))
+    own = F.when(F.col("leaf"), content).otherwise((1 - g) * shape + g * F.col("ones") / m)
+    placed = places.join(sites, "site").join(kids, "above", "left").join(inner, "up", "left")
+    placed = cut(placed.select("site", "element", "leaf", "up", "m", (F.col("pg") * F.col("sc") / F.col("pm") / F.col("kids")).alias("w"), own.alias("v")))
+    lone = placed.filter("m = 1 and up is not null").groupBy(F.col("up").alias("element")).agg(F.sum("w").alias("more")).withColumn("leaf", F.lit(False))
+    return cut(placed.filter("m > 1").join(lone, ["element", "leaf"], "left").select("site", "element", "leaf", "up", "w", (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v")))
+
+
+def importance(tree: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(element, leaf, v) with the importance v of every place, and for k = 0, 1, ... (element, leaf, up) with its ancestor 2^k levels above."""
+    jumps, now = [], tree.select("element", "leaf", "up", "w", "v")
+    while not now.filter("up is not null").isEmpty():
+        jumps.append(now.select("element", "leaf", "up").filter("up is not null"))
+        more = now.filter("up is not null").groupBy(F.col("up").alias("element")).agg(F.sum(F.col("w") * F.col("v")).alias("more")).withColumn("leaf", F.lit(False))
+        above = now.filter("not leaf and up is not null").select(F.col("element").alias("up"), F.col("up").alias("up2"), F.col("w").alias("w2"))
+        far = now.join(above, "up", "left").join(more, ["element", "leaf"], "left")
+        now = cut(far.select("element", "leaf", F.col("up2").alias("up"), (F.col("w") * F.col("w2")).alias("w"), (F.col("v") + F.coalesce("more", F.lit(0.0))).alias("v")))
+    return now.select("element", "leaf", F.round("v", 9).alias("v")), jumps
 
 
 def noisy_branches(pages: DataFrame, least: float = LEAST, decay: float = DECAY) -> DataFrame:
     """(site, element, leaf) of the topmost noisy nodes."""
-    nodes = cut(site_nodes(pages))
-    noisy = cut(importance(nodes, decay).filter(F.col("most") < least).select("site", "element", "above", "leaf"))
-    inside = nodes.filter("not leaf").join(noisy.filter("not leaf").select("element"), "element", "left_semi").select(F.col("style").alias("above")).distinct()
-    return noisy.join(inside, "above", "left_anti").select("site", "element", "leaf")
+    tree = shared_tree(cut(site_nodes(pages)), decay)
+    comp, jumps = importance(tree)
+    kept = comp.filter(F.col("v") >= least).select("element", "leaf")
+    for jump in jumps:  # what is above a place that is kept is kept
+        kept = cut(kept.unionByName(kept.join(jump, ["element", "leaf"]).select(F.col("up").alias("element"), F.lit(False).alias("leaf"))).distinct())
+    noisy = cut(tree.join(kept, ["element", "leaf"], "left_anti").select("site", "element", "leaf", "up"))
+    return noisy.join(noisy.filter("not leaf").select(F.col("element").alias("up")), "up", "left_anti").select("site", "element", "leaf")
 
 
 def page_text(source: str, site: int, noise: set) -> str:
@@ -270,22 +304,36 @@ def extract_text(pages: DataFrame, least: float = LEAST, decay: float = DECAY, h
     kind = pages.schema[key].dataType
     narrow = pages.select(ref(key).alias("k"), F.xxhash64(host(ref(url))).alias("site"), ref(html).alias("html"))
     noise = cut(noisy_branches(narrow, least, decay))
-    by_site = noise.groupBy("site").agg(F.collect_list(F.when(~F.col("leaf"), F.col("element"))).alias("inner"), F.collect_list(F.when(F.col("leaf"), F.col("element"))).alias("leaves"))
-    by_site = F.broadcast(by_site) if noise.count() * 24 <= BROADCAST_BYTES else by_site
-    joined = narrow.join(by_site, "site", "left").select("k", "site", "html", "inner", "leaves")
+    out = T.StructType([T.StructField("k", kind), T.StructField("text", T.StringType())])
+    texts = lambda sources, sites, of: pa.array([None if (s := x.as_py()) is None else page_text(s, site, of(i, site)) for i, (x, site) in enumerate(zip(sources, sites.to_pylist(), strict=True))], pa.string())
+    if noise.count() * 17 <= BROADCAST_BYTES:
+        found = noise.toArrow().sort_by("site")
+        sent = pages.sparkSession.sparkContext.broadcast(tuple(found.column(c).to_numpy() for c in ("site", "element", "leaf")))
 
-    def run(batches):
-        seen: dict[int, set] = {}
-        for batch in batches:
-            k, sites, sources, inner, leaves = batch.columns
-            out = []
-            for i, site in enumerate(sites.to_pylist()):
+        def run(batches):
+            at, elements, leaves = sent.value
+            seen: dict[int, set] = {}
+
+            def of(_, site):
                 if site not in seen:
                     if len(seen) > 256:
                         seen.clear()
-                    seen[site] = {(e, False) for e in inner[i].as_py() or ()} | {(e, True) for e in leaves[i].as_py() or ()}
-                s = sources[i].as_py()
-                out.append(None if s is None else page_text(s, site, seen[site]))
-            yield pa.RecordBatch.from_arrays([k, pa.array(out, pa.string())], names=["k", "text"])
+                    a, b = np.searchsorted(at, site), np.searchsorted(at, site, side="right")
+                    seen[site] = set(zip(elements[a:b].tolist(), leaves[a:b].tolist(), strict=True))
+                return seen[site]
+
+            for batch in batches:
+                k, sites, sources = batch.columns
+                yield pa.RecordBatch.from_arrays([k, texts(sources, sites, of)], names=["k", "text"])
+
+        return narrow.select("k", "site", "html").mapInArrow(run, out).withColumnRenamed("k", key)
+    by_site = noise.groupBy("site").agg(F.collect_list(F.when(~F.col("leaf"), F.col("element"))).alias("inner"), F.collect_list(F.when(F.col("leaf"), F.col("element"))).alias("leaves"))
+    joined = narrow.join(by_site.hint("merge"), "site", "left").select("k", "site", "html", "inner", "leaves")
+
+    def run_joined(batches):
+        for batch in batches:
+            k, sites, sources, inner, leaves = batch.columns
+            of = lambda i, _: {(e, False) for e in inner[i].as_py() or ()} | {(e, True) for e in leaves[i].as_py() or ()}  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([k, texts(sources, sites, of)], names=["k", "text"])
 
-    return joined.mapInArrow(run, T.StructType([T.StructField("k", kind), T.StructField("text", T.StringType())])).withColumnRenamed("k", key)
+    return joined.mapInArrow(run_joined, out).withColumnRenamed("k", key)

@@ -178,4 +178,4 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = ALP
     dropped = cut(decided.filter("pi < 0.5").join(F.broadcast(numbered.select("s", F.col("src").alias(d))), "s").select(d, F.col("k").alias(e), F.col("h").alias(g)))
     marked = docs.withColumn(a, ref(source).cast("string")).withColumn(b, ref(key).cast("string")).withColumn(c, F.xxhash64(ref(text)))
     on = F.col(a).eqNullSafe(F.col(d)) & F.col(b).eqNullSafe(F.col(e)) & (F.col(c) == F.col(g))
-    return join_checked(marked, dropped, on, "left_anti", 80).select(*map(ref, docs.columns))
+    return join_checked(marked, dropped, on, "left_anti").select(*map(ref, docs.columns))

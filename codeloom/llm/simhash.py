@@ -224,9 +224,9 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", distanc
     marked = docs.withColumn(k, ref(key)).withColumn(h, F.xxhash64(ref(text)))
     gone, more = (x.select(F.col("k").alias(k2), F.col("h").alias(h2)) for x in (removed, several))
     on = F.col(k).eqNullSafe(F.col(k2)) & (F.col(h) == F.col(h2))
-    out = join_checked(marked, gone.unionByName(more), on, "left_anti", 48)
+    out = join_checked(marked, gone.unionByName(more), on, "left_anti")
     if more.count():
-        once = join_checked(marked, more, on, "left_semi", 48).dropDuplicates([k, h])
+        once = join_checked(marked, more, on, "left_semi").dropDuplicates([k, h])
         out = out.unionByName(once)
     return out.select(*map(ref, docs.columns))
 

@@ -161,3 +161,48 @@ def test_head_without_end_tag(spark):
         assert _texts(H.parse(source)) == want
     got = H.extract_text(spark.createDataFrame([(1, "http://a.example/", "<html><head><title>T</title><p>text<p>more", "x", 1)], SCHEMA)).first()
     assert got.text == "text\nmore"
+
+
+@pytest.mark.parametrize("unit", ["<b>", "<a x=", "<a x='", '<a "', "<p><b>", "</i>", "<b></i>", "<b><p></p>", "<", "<!", "<li>", "<td>", "<b '>", "<a x='y'>\"", "<script>", "<div><b>", "x", "<tr><td>"])
+def test_parse_is_linear(unit):
+    """Broken markup of a megabyte is parsed in time in proportion to its length."""
+    import time
+
+    def took(n):
+        source = "<b>" * (n // 50) + unit * (n // len(unit))
+        began = time.process_time()
+        H._content(H.parse(source))
+        return time.process_time() - began
+
+    took(1000)
+    small, large = took(50_000), took(1_000_000)
+    assert large < 0.5 + 60 * small and large < 20
+
+
+def test_parse_of_broken_tags():
+    assert _texts(H.parse("<p>a<a x=")) == ["a", "<", "a x="]
+    assert _texts(H.parse("<p>a<a href='x>b<b>c</b>'")) == ["a", "b", "c", "'"]  # the quote is closed, no '>' follows: tags end at the first
+    assert _texts(H.parse("<p class=\"x>a</p><p>b 'c' <i title='>'>d")) == ["a", "b 'c' ", "'>d"]
+    assert [k.sig for k in H.parse("<table><tr><td>a<td>b<tr><td>c</table>").kids[0].kids] == ["tr", "tr"]
+    assert _texts(H.parse("</b><b>x</i></b>y")) == ["x", "y"]
+
+
+def test_a_deep_page_among_others(spark, monkeypatch):
+    """Rounds follow the logarithm of the depth that pages share; the result is brute force's."""
+    import sys
+
+    sys.setrecursionlimit(100_000)
+    deep = "<html><body>" + "<b>" * 5000 + "deep text" + "<i>x" * 20
+    rows = [*_pages(20), (100, "http://h0.example/d", deep, "x", 1)]
+    rounds = []
+    whole = H.importance
+    monkeypatch.setattr(H, "importance", lambda tree: (lambda r: rounds.append(len(r[1])) or r)(whole(tree)))
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute(rows)
+    assert {i: [x for x in t.split("\n") if x] for i, t in got.items() if i < 100} == {i: _joined(t) for i, t in want.items() if i < 100}
+    assert got[100] == "deep text" + "x" * 20 and rounds[0] <= 3
+    shared = [(i, "http://s.example/", "<html><body>" + "<div><b>Menu</b>" * 60 + f"<p>Only {i}.</p>", "x", 1) for i in range(30)]
+    rounds.clear()
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(shared, SCHEMA)).collect()}
+    assert {i: [x for x in t.split("\n") if x] for i, t in got.items()} == brute(shared) and rounds[0] <= 7
+    assert all(t == f"Only {i}." for i, t in got.items())
