@@ -18,6 +18,20 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert {r.doc_id for r in quality.quality_report(df).collect()} == {"prose", "short"}
 
 
+def test_quality_of_scripts_without_spaces_and_of_few_words(spark):
+    chinese = "在这个城市里有很多人，他们的生活是很简单的。我不知道这是不是真的，但是他一直在说。" * 4
+    japanese = "この町には多くの人がいて、その生活はとても簡単でした。私はそれが本当かどうか知りません。" * 4
+    rows = [("zh", chinese), ("ja", japanese), ("mixed", chinese + " and the rest of it is in English, as it was. " * 3), *((f"w{n}", " ".join(f"zq{i}" for i in range(n))) for n in (5, 29, 30, 31, 60))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id for r in quality.quality_filter(df).collect()} == {"zh", "ja", "mixed", "w5", "w29", "w30"}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {tuple(r) for r in con.execute(quality.ORACLE).fetchall()}
+    assert {tuple(r) for r in quality.quality_report(df).collect()} == want
+    thai = [r for r in quality.RULES if r.metric != "stop_shortfall"]
+    assert quality.quality_filter(spark.createDataFrame([("th", "ประเทศไทยเป็นประเทศที่ตั้งอยู่ในเอเชียตะวันออกเฉียงใต้")], df.schema), tuple(thai)).count() == 1
+
+
 def test_quality_edges(edge, nothing):
     out = quality.quality_filter(edge)
     assert out.columns == edge.columns
@@ -57,7 +71,7 @@ def test_exact_dedup_survives_hash_collisions(edge):
 
 
 def test_exact_dedup_shuffles_when_the_side_is_large(edge, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "join_checked", lambda a, b, on, how, n: __import__("codeloom.llm.common", fromlist=["x"]).join_checked(a, b, on, how, n, limit=-1))
+    monkeypatch.setattr(exact_dedup, "join_checked", lambda a, b, on, how: __import__("codeloom.llm.common", fromlist=["x"]).join_checked(a, b, on, how, limit=-1))
     out = exact_dedup.exact_dedup(edge)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == brute_dedup(edge.collect())
 
