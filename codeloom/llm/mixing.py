@@ -140,7 +140,7 @@ def _fly(seed: int, land: bool):
 
 def sample_units(units: DataFrame, chances: dict, numbered: DataFrame, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """Units (s, k, h, m, t) with pi 0.0 or 1.0; ``chances``: number of a source to (pi, units)."""
-    todo = cut(units.join(F.broadcast(numbered), "s").withColumn("r", F.xxhash64(F.lit(seed), "s", "k", "h")))
+    todo = cut(join_checked(units, numbered, "s", "inner").withColumn("r", F.xxhash64(F.lit(seed), "s", "k", "h")))
     fixed = [todo.filter("pi <= 0 or pi >= 1").select("s", "k", "h", "m", "t", "pi")]
     todo = todo.filter("pi > 0 and pi < 1")
     largest = max((n for p, n in chances.values() if 0 < p < 1), default=0)
@@ -153,7 +153,7 @@ def sample_units(units: DataFrame, chances: dict, numbered: DataFrame, seed: int
         todo = flown.filter("pi > 0 and pi < 1").withColumn("r", F.xxhash64(F.lit(seed + 1), "s", "k", "h"))
         if buckets == 1:
             break
-        todo = todo.join(F.broadcast(todo.groupBy("s").agg(F.count(F.lit(1)).alias("n"))), "s")
+        todo = join_checked(todo, cut(todo.groupBy("s").agg(F.count(F.lit(1)).alias("n"))), "s", "inner")
         largest = 2 * buckets
     if largest > 0:
         fixed.append(todo.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(_fly(seed + 2, True), _UNIT))
@@ -172,10 +172,10 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = ALP
     pi = targets({s: t for s, t, _ in found}, weights, alpha, budget)
     spark = docs.sparkSession
     numbered = spark.createDataFrame([(i, s, pi[s], n) for i, (s, _, n) in enumerate(found)], "s long, src string, pi double, n long")
-    coded = units.join(F.broadcast(numbered.select("s", F.col("src").alias("src2"))), F.col("src").eqNullSafe(F.col("src2"))).select("s", "k", "h", "m", "t")
+    coded = join_checked(units, numbered.select("s", F.col("src").alias("src2")), F.col("src").eqNullSafe(F.col("src2")), "inner").select("s", "k", "h", "m", "t")
     decided = sample_units(coded, {i: (pi[s], n) for i, (s, _, n) in enumerate(found)}, numbered.select("s", "pi", "n"), seed, group)
     a, b, c, d, e, g = fresh(docs, "src", "key", "hash", "src2", "key2", "hash2")
-    dropped = cut(decided.filter("pi < 0.5").join(F.broadcast(numbered.select("s", F.col("src").alias(d))), "s").select(d, F.col("k").alias(e), F.col("h").alias(g)))
+    dropped = cut(join_checked(decided.filter("pi < 0.5"), numbered.select("s", F.col("src").alias(d)), "s", "inner").select(d, F.col("k").alias(e), F.col("h").alias(g)))
     marked = docs.withColumn(a, ref(source).cast("string")).withColumn(b, ref(key).cast("string")).withColumn(c, F.xxhash64(ref(text)))
     on = F.col(a).eqNullSafe(F.col(d)) & F.col(b).eqNullSafe(F.col(e)) & (F.col(c) == F.col(g))
     return join_checked(marked, dropped, on, "left_anti").select(*map(ref, docs.columns))

@@ -26,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, n_words, ref
+from codeloom.llm.common import cut, join_checked, n_words, ref
 
 WINDOW = 4096
+#: Target proportions of the registered query: token shares to this power, which lifts small sources.
+ALPHA = 0.7
 #: Weights are whole numbers of 1/UNIT.
 UNIT = 1 << 30
 
@@ -85,12 +87,13 @@ def phases(totals: list[int], weights: list[float], window: int = WINDOW) -> lis
         first += 1
 
 
-def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, text: str = "text", key: str = "doc_id", source: str = "source", tokens: Column | None = None) -> DataFrame:
-    """The runs of all windows. Without ``weights`` each source has its share of all tokens."""
+def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, alpha: float = 1.0, text: str = "text", key: str = "doc_id", source: str = "source", tokens: Column | None = None) -> DataFrame:
+    """The runs of all windows. Without ``weights`` a source's weight is its number of tokens to the power ``alpha``."""
     spark = docs.sparkSession
     count = n_words(ref(text)) if tokens is None else tokens.cast("long")
     narrow = docs.select(ref(source).cast("string").alias("src"), ref(key).alias("k"), F.xxhash64(ref(text)).alias("h"), count.alias("n")).filter("n > 0")
-    parts = cut(narrow.repartitionByRange("src", "k", "h").sortWithinPartitions("src", "k", "h").withColumn("p", F.spark_partition_id()))
+    # written first, as the sampling of the ranges would count the words a second time
+    parts = cut(cut(narrow).repartitionByRange("src", "k", "h").sortWithinPartitions("src", "k", "h").withColumn("p", F.spark_partition_id()))
     sums = parts.groupBy("src", "p").agg(F.sum("n").alias("n")).collect()
     found = sorted((tuple(r) for r in sums), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
     names, totals, offsets = [], [], []
@@ -100,13 +103,13 @@ def pack(docs: DataFrame, weights: dict | None = None, window: int = WINDOW, tex
             totals.append(0)
         offsets.append((len(names) - 1, s, p, totals[-1]))
         totals[-1] += n
-    w = [float(n) for n in totals] if weights is None else [float(weights.get(s, 0)) for s in names]
+    w = [float(n) ** alpha for n in totals] if weights is None else [float(weights.get(s, 0)) for s in names]
     at = spark.createDataFrame(offsets, "i int, s string, p2 int, base long")
     plan = spark.createDataFrame(phases(totals, w, window), "i int, first long, k long, q0 long, q1 long, low long, high long, pos long")
     running = F.sum("n").over(Window.partitionBy("p", "src").orderBy("k", "h").rowsBetween(Window.unboundedPreceding, 0))
-    placed = parts.withColumn("own", running).join(F.broadcast(at), F.col("src").eqNullSafe(F.col("s")) & (F.col("p") == F.col("p2")))
+    placed = join_checked(parts.withColumn("own", running), at, F.col("src").eqNullSafe(F.col("s")) & (F.col("p") == F.col("p2")), "inner")
     queue = placed.select("i", "src", F.col("k").alias("id"), "n", (F.col("base") + F.col("own") - F.col("n")).alias("o"))
-    met = queue.join(F.broadcast(plan), "i").filter("o < q1 and o + n > q0")
+    met = join_checked(queue, plan, "i", "inner").filter("o < q1 and o + n > q0")
     met = met.withColumn("lo", F.expr("greatest(o, q0) - q0")).withColumn("hi", F.expr("least(o + n, q1) - q0"))
     per = F.expr(f"(high - low) * {float(window) / UNIT!r}")
     guess = lambda c, d: F.least(F.greatest(F.floor((F.col(c) + d) / per) + d, F.lit(0)), F.col("k") - 1)

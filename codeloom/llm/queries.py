@@ -39,7 +39,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), alpha=packing.ALPHA)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

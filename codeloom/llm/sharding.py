@@ -20,7 +20,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, ref
+from codeloom.llm.common import cut, join_checked, ref
 
 #: A shard holds at most about this many bytes ...
 SHARD_BYTES = 256 << 20
@@ -31,15 +31,16 @@ READERS = 64
 def assign_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, readers: int = READERS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, first_byte, shard_id) of every row."""
     narrow = docs.select(ref(key).alias("k"), F.coalesce(F.octet_length(ref(text)), F.lit(0)).cast("long").alias("b"), F.xxhash64(ref(text)).alias("h"))
-    parts = cut(narrow.repartitionByRange("k", "b", "h").sortWithinPartitions("k", "b", "h").withColumn("p", F.spark_partition_id()))
+    # written first, as the sampling of the ranges would read the texts a second time
+    parts = cut(cut(narrow).repartitionByRange("k", "b", "h").sortWithinPartitions("k", "b", "h").withColumn("p", F.spark_partition_id()))
     totals = sorted((r["p"], r["s"]) for r in parts.groupBy("p").agg(F.sum("b").alias("s")).collect())
     ends = list(accumulate(s for _, s in totals))
     total = ends[-1] if ends else 0
     shards = max(readers, -(-total // shard_bytes))
     target = max(1, -(-total // shards))
-    offsets = docs.sparkSession.createDataFrame([(p, e - s) for (p, s), e in zip(totals, ends, strict=True)], "p int, at long")
+    offsets = docs.sparkSession.createDataFrame([(p, e - s) for (p, s), e in zip(totals, ends, strict=True)], "p int, at long")  # a row a partition
     running = F.sum("b").over(Window.partitionBy("p").orderBy("k", "b", "h").rowsBetween(Window.unboundedPreceding, 0))
-    placed = parts.withColumn("own", running).join(F.broadcast(offsets), "p").withColumn("first_byte", F.col("at") + F.col("own") - F.col("b"))
+    placed = join_checked(parts.withColumn("own", running), offsets, "p", "inner").withColumn("first_byte", F.col("at") + F.col("own") - F.col("b"))
     last = F.lit(max(0, (total - 1) // target))
     return placed.select(F.col("k").alias(key), F.col("b").alias("n_bytes"), "first_byte", F.least(F.expr(f"first_byte div {target}"), last).alias("shard_id"))
 

@@ -165,3 +165,73 @@ def test_pack_edges(edge, nothing):
     assert packing.pack(nothing).count() == 0
     ids = {r.doc_id for r in packing.pack(edge).collect()}
     assert not ids & {4, 5, 6, 7} and None in ids and 8 in ids
+
+
+def cube(pi, constraints, rng):
+    """The flight phase as its definition has it: a null vector of the constraints of the first fractional units by SVD."""
+    pi, k = pi.astype(float).copy(), len(constraints) + 1
+    order = [i for i in range(len(pi)) if 1e-9 < pi[i] < 1 - 1e-9]
+    draws = iter(rng.random(len(order) + 8))
+    while True:
+        some = [i for i in order if 1e-9 < pi[i] < 1 - 1e-9][:k]
+        if len(some) < k:
+            return pi
+        a = np.array([[c[i] for i in some] for c in constraints], float)
+        u = np.linalg.svd(a)[2][-1]
+        if k == 3 and np.linalg.matrix_rank(a) < 2:
+            u = np.array([a[0, 1], -a[0, 0], 0.0])
+        lead = np.cross(a[0], a[1]) if k == 3 and np.linalg.matrix_rank(a) == 2 else np.array([a[0, 1], -a[0, 0], 0.0][:k])
+        u = u * np.sign(u @ lead)
+        up = min((1 - pi[i]) / c if c > 0 else pi[i] / -c for i, c in zip(some, u, strict=True) if abs(c) > 1e-12)
+        down = min(pi[i] / c if c > 0 else (1 - pi[i]) / -c for i, c in zip(some, u, strict=True) if abs(c) > 1e-12)
+        pi[some] += (up if next(draws) * (up + down) < down else -down) * u
+        pi[some] = [round(p) if p < 1e-9 or p > 1 - 1e-9 else p for p in pi[some]]
+
+
+@pytest.mark.parametrize("cut_at", [None, "a"])
+def test_mix_against_brute_force(spark, documents, cut_at):
+    """The same rows as the cube method run in one place, from its definition."""
+    docs = documents.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b")) if cut_at else documents
+    units = docs.select("source", F.col("doc_id").cast("string").alias("k"), F.xxhash64("text").alias("h"), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("n")).groupBy("source", "k", "h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")).collect()
+    tokens = Counter()
+    for u in units:
+        tokens[u.source] += u.t
+    names = sorted(tokens, key=lambda s: (s is None, s))
+    pi = mixing.targets(dict(tokens))
+    rows = [(names.index(u.source), u.k, u.h, u.m, u.t) for u in units]
+    keyed = spark.createDataFrame(rows, "s long, k string, h long, m long, t long").select("*", *(F.xxhash64(F.lit(mixing.SEED + i), "s", "k", "h").alias(f"r{i}") for i in (0, 1))).collect()
+    chance = {}
+    for s in range(len(names)):
+        own = sorted((u for u in keyed if u.s == s), key=lambda u: (u.r0, u.h))
+        p = np.full(len(own), pi[names[s]])
+        if 0 < pi[names[s]] < 1:
+            p = cube(p, [[u.m for u in own], [u.t for u in own]], np.random.default_rng([mixing.SEED, own[0].r0 & (2**63 - 1), len(own)]))
+        chance |= {(u.s, u.k, u.h): x for u, x in zip(own, p, strict=True)}
+    left = sorted((u for u in keyed if 1e-9 < chance[u.s, u.k, u.h] < 1 - 1e-9), key=lambda u: (u.r1, u.h))
+    if left:
+        rng = np.random.default_rng([mixing.SEED + 2, left[0].r1 & (2**63 - 1), len(left)])
+        p, m, t = (np.array([f(u) for u in left], float) for f in (lambda u: chance[u.s, u.k, u.h], lambda u: u.m, lambda u: u.t))
+        for s in sorted({u.s for u in left}):
+            at = [i for i, u in enumerate(left) if u.s == s]
+            p[at] = cube(p[at], [m[at]], rng)
+        p = cube(cube(p, [m, t], rng), [m], rng)
+        last = (p > 1e-9) & (p < 1 - 1e-9)
+        p[last] = rng.random(last.sum()) < p[last]
+        chance |= {(u.s, u.k, u.h): x for u, x in zip(left, p, strict=True)}
+    want = sorted(u.k for u in keyed if chance[u.s, u.k, u.h] > 0.5)
+    assert sorted(str(r.doc_id) for r in mixing.mix_sources(docs).select("doc_id").collect()) == want
+
+
+def test_packing_by_tempered_shares(documents):
+    """Every window but those after a source has run dry holds the target proportions to a token a source."""
+    totals = {r.source: r.n for r in documents.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
+    whole = sum(n**packing.ALPHA for n in totals.values())
+    out = packing.pack(documents, window=256, alpha=packing.ALPHA).groupBy("window_id", "source").agg(F.sum("n_tokens").alias("n")).collect()
+    served = Counter()
+    for r in out:
+        served[r.source] += r.n
+    assert dict(served) == totals
+    first_dry = min(max(r.window_id for r in out if r.source == s) for s in totals)
+    for r in out:
+        if r.window_id < first_dry:
+            assert abs(r.n - 256 * totals[r.source] ** packing.ALPHA / whole) <= 2

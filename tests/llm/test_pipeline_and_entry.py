@@ -60,3 +60,24 @@ def test_queries_run_and_return_rows(spark):
     for name, q in entry.queries().items():
         if name.startswith("op"):
             assert q(spark, SF).count() > 0, name
+
+
+def test_pipeline_on_nulls_empty_texts_ties_and_clashing_names(spark, edge, nothing, tmp_path):
+    """Each stage keeps the columns; what goes are rejects, copies, near copies and what mixing leaves out."""
+    now, before = edge, None
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, now, "").write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        rows = [(r.doc_id, r.text) for r in now.collect()] if k < 4 else None
+        if k < 4:
+            assert now.columns == edge.columns and (before is None or not Counter(rows) - before), name
+            before = Counter(rows)
+        if name == "quality rules":
+            assert all(t and t.strip() for _, t in rows)
+        if name == "exact dedup":
+            assert len({t for _, t in rows}) == len(rows)
+    assert {(r.doc_id, r.n) for r in now.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()} <= {(i, n) for i in {i for i, _ in before} for n in {sum(len(t.split()) for j, t in before if j == i)}}
+    for name, table in (("edge", edge), ("nothing", nothing)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert Counter(corpus_pipeline.run(spark, f"{tmp_path}/edge").collect()) == Counter(now.collect())
+    assert corpus_pipeline.run(spark, f"{tmp_path}/nothing").count() == 0
