@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame that is written as Parquet and read again as the next stage's docs. All but the last
 return the columns of documents; the last returns the runs of tokens of each packed window.
+
+Defined results: null and empty texts go at the first stage; of repeated rows and of copies one stays
+(2), of near copies the least id (3), ties and null ids as those operators' docstrings say; an empty
+table gives no rows; extra columns pass through the first four stages under any name.
 """
 
 from __future__ import annotations
