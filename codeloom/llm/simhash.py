@@ -11,9 +11,13 @@ random shift, and keeps the fingerprints whose shifted partial weight there is a
 Near fingerprints keep together far more often than others. Children are small by a factor 1/q and
 are filtered again on other strips until ``LEAF`` fingerprints remain, which are compared by brute
 force. How many lists are opened at the top follows from the filter's exact probabilities, so that
-a pair at ``DESIGN`` bits is met with the target recall; nearer pairs are met more often. The first
-levels run where the rows are; one shuffle brings each list together; the rest runs inside a task.
-No list, leaf or group has a cap: lists are random, so copies don't pile up in one of them.
+a pair at ``DISTANCE`` bits, the furthest, is met with the target recall; nearer pairs are met more often.
+The first levels run where the rows are; one shuffle brings each list together; the rest runs inside a
+task. Copies a row grow as about the number of fingerprints to the power 0.4 (15 for 10^5, 17 for 10^7,
+85 for 10^9); of the filters in ``FILTERS`` the plan takes at the top the one with the fewest.
+No list, leaf or group has a cap. Near copies pass the same filters, so thousands of them can meet in a
+leaf: what is already one group there isn't compared again, and two large groups are compared
+only where the distances from their centres allow a near pair, which loses none.
 
 Groups are the connected components of near pairs; the row with the least id of each stays.
 
@@ -28,7 +32,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import cut, fresh, join_checked, ref
@@ -37,13 +41,15 @@ from codeloom.llm.vector_text import blocks, mix, word_hashes
 
 BITS = 256
 DISTANCE = 64
-DESIGN = 58
-TARGET = 0.95
+#: Recall of pairs at DISTANCE bits.
+TARGET = 0.92
 SAMPLE = 8
 WEIGHT = 1
+#: (coordinates, largest partial weight) of the filters to choose from at the top; below, it is SAMPLE and WEIGHT.
+FILTERS = ((SAMPLE, WEIGHT), (12, 2), (14, 2), (16, 2), (18, 2), (20, 3))
 LEAF = 1024
-#: A list is brought to one task when it is expected to hold at most so many fingerprints.
-LIST = 1 << 18
+#: A list is brought to one task when it is expected to hold at most so many fingerprints (of about 100 bytes).
+LIST = 1 << 20
 #: Expected children that a fingerprint enters at each inner level.
 INNER = 6.0
 _LANES = (((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))[None, :]).sum(1, dtype=np.uint64)
@@ -103,22 +109,26 @@ def pass_together(delta: float, sample: int = SAMPLE, weight: int = WEIGHT) -> f
     return both / pass_rate(sample, weight)
 
 
-def search_plan(n: int, target: float = TARGET, design: int = DESIGN, leaf: int = LEAF, most: int = LIST) -> dict:
-    """Levels in all, levels before the shuffle, and filters at each level, for ``n`` fingerprints."""
-    q, c = pass_rate(), pass_together(design / BITS)
-    levels = max(1, ceil(log(max(n, 1) / leaf) / log(1 / q))) if n > leaf else 1
-    before = max(1, ceil(log(max(n, 1) / most) / log(1 / q))) if n > most else 1
+def _plan(n: int, target: float, distance: int, leaf: int, most: int, top: tuple[int, int]) -> dict:
+    q, c = zip(*((pass_rate(*f), pass_together(distance / BITS, *f)) for f in (top, (SAMPLE, WEIGHT))), strict=True)
+    deep = lambda size: 1 + max(0, ceil(log(max(n, 1) * q[0] / size) / log(1 / q[1])))
+    levels, before = deep(leaf), deep(most)
     met = 1.0
     for _ in range(levels - 1):
-        met = 1 - np.exp(-INNER * c * met)
-    outer = -log(1 - target) / (c * met)
-    return {"levels": levels, "before": min(before, levels), "filters": [ceil(outer / q), *[ceil(INNER / q)] * (levels - 1)]}
+        met = 1 - np.exp(-INNER * c[1] * met)
+    outer = -log(1 - target) / (c[0] * met)
+    return {"kinds": [top, *[(SAMPLE, WEIGHT)] * (levels - 1)], "levels": levels, "before": before, "filters": [ceil(outer / q[0]), *[ceil(INNER / q[1])] * (levels - 1)], "copies": float(outer * INNER ** (before - 1))}
 
 
-def _filters(path: int, count: int, strip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_plan(n: int, target: float = TARGET, distance: int = DISTANCE, leaf: int = LEAF, most: int = LIST) -> dict:
+    """The filters of each level, levels in all and before the shuffle, and copies of a row shuffled, for ``n`` fingerprints."""
+    return min((_plan(n, target, distance, leaf, most, f) for f in FILTERS), key=lambda p: (p["copies"], p["levels"], p["filters"][0]))
+
+
+def _filters(path: int, count: int, strip: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Strip, mask and shift of each child of the node ``path``."""
     rng = np.random.default_rng([path, 77])
-    picks = np.argsort(rng.random((count, 64)), axis=1)[:, :SAMPLE].astype(np.uint64)
+    picks = np.argsort(rng.random((count, 64)), axis=1)[:, :sample].astype(np.uint64)
     masks = np.bitwise_or.reduce(np.uint64(1) << picks, axis=1)
     words = BITS // 64
     strips = np.arange(count) % words if strip < 0 else (strip + 1 + np.arange(count) % (words - 1)) % words
@@ -129,33 +139,98 @@ def _child(path: int, j: int) -> int:
     return int(mix(np.array([path], np.uint64) * np.uint64(1_000_003) + np.uint64(j + 1))[0] >> np.uint64(1))
 
 
-def _descend(fp: np.ndarray, rows: np.ndarray, path: int, strip: int, filters: list[int], depth: int, stop: int):
+def _descend(fp: np.ndarray, rows: np.ndarray, path: int, strip: int, plan: dict, depth: int, stop: int):
     """(path, strip, rows) of every list at depth ``stop`` below this node that has any rows."""
     if depth == stop:
         yield path, strip, rows
         return
-    for j, (s, mask, shift) in enumerate(zip(*_filters(path, filters[depth], strip), strict=True)):
-        own = rows[np.bitwise_count((fp[rows, s] ^ shift) & mask) <= WEIGHT]
+    for j, (s, mask, shift) in enumerate(zip(*_filters(path, plan["filters"][depth], strip, plan["kinds"][depth][0]), strict=True)):
+        own = rows[np.bitwise_count((fp[rows, s] ^ shift) & mask) <= plan["kinds"][depth][1]]
         if len(own):
-            yield from _descend(fp, own, _child(path, j), int(s), filters, depth + 1, stop)
+            yield from _descend(fp, own, _child(path, j), int(s), plan, depth + 1, stop)
+
+
+def _near(x: np.ndarray, y: np.ndarray, distance: int):
+    """(i, j) with x[i] and y[j] within ``distance``, by brute force in tiles."""
+    for a in range(0, len(x), 256):
+        for b in range(0, len(y), 8192):
+            u, v = x[a : a + 256], y[b : b + 8192]
+            d = np.bitwise_count(u[:, None, 0] ^ v[None, :, 0])
+            for w in range(1, BITS // 64 - 1):
+                d += np.bitwise_count(u[:, None, w] ^ v[None, :, w])
+            i, j = np.nonzero(d <= distance)
+            ok = d[i, j].astype(np.int64) + np.bitwise_count(u[i, -1] ^ v[j, -1]) <= distance
+            yield i[ok] + a, j[ok] + b
 
 
-def near_in(fp: np.ndarray, distance: int = DISTANCE, block: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+def near_in(fp: np.ndarray, distance: int = DISTANCE) -> list[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j of a leaf within ``distance``, by brute force."""
     out = []
-    for a in range(0, len(fp), block):
-        x, y = fp[a : a + block], fp[a:]
-        d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-        for w in range(1, BITS // 64 - 1):
-            d += np.bitwise_count(x[:, None, w] ^ y[None, :, w])
-        i, j = np.nonzero(d <= distance)
-        later = j > i
-        i, j = i[later], j[later]
-        ok = d[i, j].astype(np.int64) + np.bitwise_count(x[i, -1] ^ y[j, -1]) <= distance
-        out.append((i[ok] + a, j[ok] + a))
+    for a in range(0, len(fp), 256):
+        for i, j in _near(fp[a : a + 256], fp[a:], distance):
+            later = j > i
+            out.append((i[later] + a, j[later] + a))
     return out
 
 
+def _from(fp: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp ^ one).sum(1).astype(np.int64)
+
+
+def join_leaf(fp: np.ndarray, rows: np.ndarray, label: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF) -> None:
+    """Join in ``label`` the groups that the near pairs of ``rows`` form; no pair inside a large group is looked at again.
+
+    Rows of groups of more than ``leaf`` rows are crowds. The others are compared with all of them and
+    with the crowds, a block at a time, after which the crowds that grew are set aside. A row x and
+    a crowd with centre p can have a near pair only with members y of d(y, p) >= d(x, p) - distance.
+    """
+    crowds: dict[int, list] = {}
+    loose = rows
+
+    def set_aside() -> None:
+        nonlocal loose
+        if len(loose) <= leaf:
+            return
+        at, inverse, size = np.unique(label[loose], return_inverse=True, return_counts=True)
+        big = size > leaf
+        if not big.any():
+            return
+        for g in np.flatnonzero(big):
+            own = loose[inverse == g]
+            d = _from(fp[own], fp[own[0]])
+            order = np.argsort(-d, kind="stable")
+            crowds[len(crowds)] = [own[order], d[order], own[0]]
+        loose = loose[~big[inverse]]
+
+    def meet(some: np.ndarray, crowd: list) -> None:
+        members, far, centre = crowd
+        d = _from(fp[some], fp[centre])
+        order = np.argsort(d, kind="stable")
+        some, d = some[order], d[order]
+        for a in range(0, len(some), 256):
+            part = some[a : a + 256]
+            reach = int(np.searchsorted(-far, distance - int(d[a]), side="right"))
+            for b in range(0, reach, 8192):
+                for i, j in _near(fp[part], fp[members[b : min(reach, b + 8192)]], distance):
+                    _merge(label, part[i], members[b + j])
+
+    set_aside()
+    while len(loose):
+        some = loose[:256]
+        for i, j in _near(fp[some], fp[loose], distance):
+            _merge(label, some[i], loose[j])
+        for crowd in list(crowds.values()):
+            meet(some, crowd)
+        set_aside() if len(crowds) or len(loose) > 2 * leaf else None
+        # rows of the block that were set aside in a crowd are compared as its members
+        loose = loose[np.isin(loose, some, invert=True)]
+    crowd_list = list(crowds.values())
+    for k, one in enumerate(crowd_list):
+        for other in crowd_list[:k]:
+            if label[one[2]] != label[other[2]]:
+                meet(*((one[0], other) if len(one[0]) < len(other[0]) else (other[0], one)))
+
+
 def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
     """Let ``label`` hold the least member of each group when the pairs are joined too."""
     while True:
@@ -179,7 +254,10 @@ def list_edges(ids: np.ndarray, fp: np.ndarray, path: int, strip: int, plan: dic
     label = np.arange(len(ids))
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for _, _, rows in _descend(fp, np.arange(len(ids)), path, strip, plan["filters"], plan["before"], plan["levels"]):
+    for _, _, rows in _descend(fp, np.arange(len(ids)), path, strip, plan, plan["before"], plan["levels"]):
+        if len(rows) > 2 * LEAF:
+            join_leaf(fp, rows, label, distance)
+            continue
         for i, j in near_in(fp[rows], distance):
             if len(i):
                 held.append((rows[i], rows[j]))
@@ -199,14 +277,27 @@ def _matrix(fps) -> np.ndarray:
 
 def near_edges(nodes: DataFrame, n: int, distance: int = DISTANCE, target: float = TARGET) -> DataFrame:
     """(u, v) edges whose components are the groups of near fingerprints of ``nodes(node, fp)``."""
-    plan = search_plan(n, target)
+    plan = search_plan(n, target, distance)
 
     def lists(batches):
         for batch in batches:
             fp, ids = _matrix(batch.column("fp")), batch.column("node")
-            for path, strip, rows in _descend(fp, np.arange(len(fp)), 0, -1, plan["filters"], 0, plan["before"]):
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), path, np.int64)), pa.array(np.full(len(rows), strip, np.int32)), ids.take(take), batch.column("fp").take(take)], names=["path", "strip", "node", "fp"])
+            held: list[tuple[int, int, np.ndarray]] = []
+            size = 0
+
+            def rows_of(held):
+                take = pa.array(np.concatenate([r for _, _, r in held]))
+                n = [len(r) for _, _, r in held]
+                return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([p for p, _, _ in held], np.int64), n)), pa.array(np.repeat(np.array([s for _, s, _ in held], np.int32), n)), ids.take(take), batch.column("fp").take(take)], names=["path", "strip", "node", "fp"])  # noqa: B023
+
+            for found in _descend(fp, np.arange(len(fp)), 0, -1, plan, 0, plan["before"]):
+                held.append(found)
+                size += len(found[2])
+                if size > 1 << 15:
+                    yield rows_of(held)
+                    held, size = [], 0
+            if held:
+                yield rows_of(held)
 
     def find(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -235,10 +326,13 @@ def near_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", distance
     """(k, h) of the rows to remove, and of the rows to keep once though they occur several times."""
     sign = F.arrow_udf(fingerprints, "binary")
     rows = cut(docs.select(ref(key).alias("k"), F.xxhash64(ref(text)).alias("h"), sign(ref(text)).alias("fp")).filter(F.col("fp").isNotNull()))
-    nodes = cut(rows.select("fp").distinct().withColumn("node", F.monotonically_increasing_id()))
-    group = components(near_edges(nodes, nodes.count(), distance, target).distinct())
-    placed = rows.join(nodes, "fp").join(group, "node", "left").select("k", "h", F.coalesce("root", "node").alias("root"))
-    w = Window.partitionBy("root").orderBy(F.col("k").asc_nulls_last(), "h")
-    ranked = cut(placed.withColumn("first", F.row_number().over(w) == 1).withColumn("fk", F.first("k").over(w)).withColumn("fh", F.first("h").over(w)).filter("not first"))
+    # the least row of each fingerprint, then of each group: sums that combine where the rows are
+    least = F.min(F.struct(F.col("k").isNull().alias("none"), F.col("k").alias("fk"), F.col("h").alias("fh")))
+    nodes = cut(rows.groupBy("fp").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    group = cut(components(near_edges(nodes, nodes.count(), distance, target).distinct()))
+    placed = join_checked(nodes, group, "node", "left").filter("root is not null or n > 1").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    stays = placed.groupBy("root").agg(F.min("least").alias("stays"))
+    several = cut(placed.join(stays, "root").select("fp", "stays.fk", "stays.fh"))
     same = F.col("k").eqNullSafe(F.col("fk")) & (F.col("h") == F.col("fh"))
-    return ranked.filter(~same).select("k", "h").distinct(), ranked.filter(same).select("k", "h").distinct()
+    met = cut(join_checked(rows, several, "fp", "inner").groupBy("k", "h", same.alias("same")).agg(F.count(F.lit(1)).alias("n")))
+    return met.filter("not same").select("k", "h"), met.filter("same and n > 1").select("k", "h")

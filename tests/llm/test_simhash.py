@@ -55,12 +55,12 @@ def test_fingerprint_edges_and_blocks():
 def test_filter_chances():
     rng = np.random.default_rng(0)
     fp = _prints(20_000)
-    near = np.array([_flip(x, S.DESIGN, rng) for x in fp[:4000]])
+    near = np.array([_flip(x, S.DISTANCE, rng) for x in fp[:4000]])
     s, mask, shift = (x[0] for x in S._filters(5, 1, -1))
     ok = np.bitwise_count((fp[:, s] ^ shift) & mask) <= S.WEIGHT
     assert abs(ok.mean() - S.pass_rate()) < 0.005
     both = [np.bitwise_count((near[ok[:4000], s] ^ shift) & mask) <= S.WEIGHT]
-    assert abs(both[0].mean() - S.pass_together(S.DESIGN / 256)) < 0.12
+    assert abs(both[0].mean() - S.pass_together(S.DISTANCE / 256)) < 0.12
 
 
 def test_recall_against_brute_force():
@@ -74,7 +74,7 @@ def test_recall_against_brute_force():
         plan = S.search_plan(len(fp), leaf=leaf)
         assert plan["levels"] == (1 if leaf == 4096 else 2)
         found, label = set(), np.arange(len(fp))
-        for path, strip, rows in S._descend(fp, np.arange(len(fp)), 0, -1, plan["filters"], 0, plan["before"]):
+        for path, strip, rows in S._descend(fp, np.arange(len(fp)), 0, -1, plan, 0, plan["before"]):
             u, v = S.list_edges(rows, fp[rows], path, strip, plan)
             found |= set(zip(u.tolist(), v.tolist(), strict=True))
             S._merge(label, u, v)
@@ -85,9 +85,51 @@ def test_recall_against_brute_force():
 
 
 def test_plan_grows_with_the_rows():
-    a, b, c = (S.search_plan(n) for n in (1000, 10**6, 10**10))
-    assert a["levels"] == 1 and a["levels"] < b["levels"] < c["levels"] and c["before"] > a["before"]
-    assert S.LEAF >= 10**10 * S.pass_rate() ** c["levels"]
+    plans = {n: S.search_plan(n) for n in (1000, 10**5, 10**6, 10**7, 10**8, 10**9, 10**10, 10**11)}
+    assert plans[1000]["levels"] == 1 and plans[10**10]["levels"] > plans[10**6]["levels"] > 1
+    for n, p in plans.items():
+        assert S.LEAF >= n * np.prod([S.pass_rate(*f) for f in p["kinds"]])
+        assert S.LIST >= n * np.prod([S.pass_rate(*f) for f in p["kinds"][: p["before"]]])
+        assert p["copies"] <= 18 * max(1, n / 2e7) ** 0.55  # far less than in proportion to the rows
+
+
+def test_expected_recall_at_the_furthest_distance_is_the_target_at_every_size():
+    for n in (10**3, 10**6, 10**9, 10**11):
+        p = S.search_plan(n)
+        met = 1.0
+        for count, f in zip(reversed(p["filters"]), reversed(p["kinds"]), strict=True):
+            met = 1 - np.exp(-count * S.pass_rate(*f) * S.pass_together(S.DISTANCE / S.BITS, *f) * met)
+        assert met >= S.TARGET - 1e-9
+
+
+def test_crowds_of_near_copies():
+    """Leaves of thousands of near copies: brute force's groups, in memory and time that follow the rows."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    centres = _prints(4, 9)
+    bits = lambda n, most: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 4, most), dtype=np.uint64), axis=2)
+    crowd = lambda c, n, most: centres[c] ^ bits(n, most)
+    between = np.array([_flip(_flip(centres[0], 50, rng), 10, rng) for _ in range(30)])
+    fp = np.concatenate([_prints(300, 10), crowd(0, 500, 3), crowd(1, 400, 12), crowd(2, 90, 10), between])
+    fp = fp[rng.permutation(len(fp))]
+    want = _groups(len(fp), _brute(fp))
+    for leaf in (5, 50, 300, 5000):
+        label = np.arange(len(fp))
+        S.join_leaf(fp, np.arange(len(fp)), label, leaf=leaf)
+        assert (label == want).all(), leaf
+    many = np.concatenate([crowd(0, 50_000, 4), crowd(1, 20_000, 4), _prints(1500, 11)])
+    tracemalloc.start()
+    began = time.process_time()
+    u, v = S.list_edges(np.arange(len(many)), many, 3, 1, S.search_plan(10**6))
+    assert tracemalloc.get_traced_memory()[1] < 3e8 and time.process_time() - began < 150
+    tracemalloc.stop()
+    label = np.arange(len(many))
+    S._merge(label, u, v)
+    a, b = (np.unique(x, return_counts=True) for x in (label[:50_000], label[50_000:70_000]))
+    # a row that this list's filters part from its crowd meets it in another list
+    assert a[1].max() > 49_000 and b[1].max() > 19_600 and not set(a[0]) & set(b[0]) and len(set(label[70_000:])) == 1500
 
 
 def test_near_dedup_edges(edge, nothing):
