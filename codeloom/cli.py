@@ -71,13 +71,11 @@ def _index(spark, a) -> CodeIndex:
     if a.cache_dir is None or a.no_cache:
         return CodeIndex.of_tree(spark, root, tuple(ext))
     folder = os.path.join(a.cache_dir, maintain.cache_key(root, ext))
-    if not a.rebuild_cache and os.path.isdir(os.path.join(folder, "files")):
-        from codeloom.sources.files import scan_tree
-
-        return CodeIndex.load(spark, folder, root).updated(scan_tree(spark, root, tuple(ext)))
+    if not a.rebuild_cache:
+        return CodeIndex.refreshed(spark, folder, root, tuple(ext))
     index = CodeIndex.of_tree(spark, root, tuple(ext))
     index.save(folder)
-    return CodeIndex.load(spark, folder, root)
+    return CodeIndex.load(spark, folder, root, tuple(ext))
 
 
 def run(argv: list[str], spark=None) -> str:

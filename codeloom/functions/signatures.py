@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,7 +94,3 @@ def return_type(lang: Column, sig: Column) -> Column:
     before = F.regexp_extract(sig, r"([\w<>\[\],.]+)\s+\w+\s*\(", 1)
     pointer = F.trim(F.regexp_extract(sig, r"([\w]+(?:\s*\*+)?)\s*\w+\s*\(", 1))
     return F.when(lang == "rust", rust).when(lang == "python", python).when(lang.isin("javascript", "typescript"), script).when(lang == "go", go).when(lang == "java", some(before, "void")).when(lang == "c", some(pointer, "void"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

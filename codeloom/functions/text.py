@@ -156,7 +156,3 @@ def numbered(content: Column, start: Column, end: Column) -> Column:
     ls = lines(content)
     rows = F.transform(F.sequence(start, end), lambda i: F.format_string("%4d | %s", i, F.element_at(ls, i)))
     return F.when((start >= 1) & (end >= start) & (end <= F.size(ls)), F.array_join(rows, "\n"))
-
-
-def shortened(s: Column, n: int) -> Column:
-    return F.when(F.octet_length(s) > n, F.concat(F.substring(s, 1, n - 3), F.lit("..."))).otherwise(s)

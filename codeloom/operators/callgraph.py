@@ -140,6 +140,12 @@ def test_reach(symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFr
     return hit.select("test_file", F.col("call_name").alias("name"), F.col("dtype").alias("symbol_type"), F.col("dpath").alias("path"), F.col("dline").alias("line"), "called_from_line")
 
 
+def in_order(points: DataFrame) -> DataFrame:
+    """Entry points by category, file and line."""
+    rank = F.when(F.col("category") == "main", 0).when(F.col("category") == "api", 1).otherwise(2)
+    return points.orderBy(rank, "path", "line")
+
+
 def impact(symbols: DataFrame, calls: DataFrame, files: DataFrame, wanted: str, exact: bool = False, include_docs: bool = False, limit: int | None = 10) -> dict[str, DataFrame]:
     """target (best match), shortlist (top 5), callers, tests, and totals before the limit."""
     own = symbols if include_docs else symbols.filter(~F.col("symbol_type").isin(*X.DOCS))
@@ -152,7 +158,7 @@ def impact(symbols: DataFrame, calls: DataFrame, files: DataFrame, wanted: str,
     cap = lambda df: df.orderBy("path", "line").limit(limit) if limit is not None else df
     lone = F.lit(best["symbol_type"] in ("function", "method"))
     totals = who.agg(F.count(F.lit(1)).alias("callers")).crossJoin(tests.agg(F.count(F.lit(1)).alias("tests"))).withColumn("is_untested", lone & (F.col("tests") == 0))
-    return {"target": ranked.limit(1), "shortlist": ranked.limit(5), "callers": cap(who), "tests": cap(tests), "totals": totals}
+    return {"best": best["name"], "target": ranked.limit(1), "shortlist": ranked.limit(5), "callers": cap(who), "tests": cap(tests), "totals": totals}
 
 
 def trace(symbols: DataFrame, calls: DataFrame, source: str, target: str, fuzzy: bool = False, depth: int = DEPTH) -> DataFrame:
@@ -189,8 +195,3 @@ def trace(symbols: DataFrame, calls: DataFrame, source: str, target: str, fuzzy:
         seen = cut(seen.unionByName(front.select("key")))
         front = front.drop("key")
     return spark.createDataFrame([], schema)
-
-
-def annotations(files: DataFrame) -> DataFrame:
-    """Lines that hold only an annotation or attribute."""
-    return file_lines(files).filter(F.trim("text").rlike(r"^(@|#\[)"))

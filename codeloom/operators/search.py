@@ -60,7 +60,17 @@ def candidate_files(files: DataFrame, wanted: str, fuzzy: bool = True) -> DataFr
     return files.filter(has & ~c.contains("\0"))
 
 
-def inspect(symbols: DataFrame, path: str, full: bool = False, exports_only: bool = False) -> DataFrame:
+def total(rows: DataFrame, section: str) -> DataFrame:
+    """(section, total): how many rows there are before any limit."""
+    return rows.agg(F.count(F.lit(1)).alias("total")).select(F.lit(section).alias("section"), "total")
+
+
+def inspect(symbols: DataFrame, path: str, full: bool = False, exports_only: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """Symbols of one file, in order; with ``files``, an error for a file that isn't there or has no known language."""
+    if files is not None:
+        known = files.filter(F.col("path") == path).select("language").first()
+        if known is None or known[0] == "unknown":
+            raise ValueError(f"no file {path}" if known is None else f"{path}: unknown language")
     out = symbols.filter(F.col("path") == path)
     if not full:
         out = out.filter(F.col("name") != "anonymous")
@@ -74,7 +84,8 @@ def with_bodies(symbols: DataFrame, files: DataFrame, cap: int | None = 50) -> D
     span = F.col("line_end") - F.col("line_start") + 1
     body = X.span_text(F.col("content"), F.col("line_start"), F.col("line_end"))
     body = body if cap is None else F.when(span <= cap, body)
-    return symbols.join(files.select("path", "content"), "path", "left").withColumn("body", body).drop("content")
+    out = symbols.join(files.select("path", "content"), "path", "left").withColumn("body", body).drop("content")
+    return out.orderBy(F.col("score").desc(), "path", "ordinal") if "score" in symbols.columns else out
 
 
 def files_by_language(files: DataFrame) -> DataFrame:

@@ -41,9 +41,18 @@ def types_of(symbols: DataFrame, wanted: str, fuzzy: bool = False) -> DataFrame:
     return resolve_types(flat, symbols)
 
 
+def classes(symbols: DataFrame) -> DataFrame:
+    """Classes and enums; interfaces have no schema."""
+    return symbols.filter(F.col("symbol_type").isin("class", "enum"))
+
+
+def total_fields(schemas: DataFrame) -> DataFrame:
+    return schemas.agg(F.coalesce(F.sum(F.size("fields")), F.lit(0)).cast("long").alias("fields"))
+
+
 def schema_of(symbols: DataFrame, fields: DataFrame, wanted: str, fuzzy: bool = False) -> DataFrame:
     """(name, symbol_type, path, line, language, fields[]) of classes and enums."""
-    own = symbols.filter(F.col("symbol_type").isin("class", "enum") & name_matches(F.col("name"), wanted, fuzzy))
+    own = classes(symbols).filter(name_matches(F.col("name"), wanted, fuzzy))
     listed = fields.groupBy("path", F.col("symbol_ordinal").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("position"), F.col("name").alias("field"), F.col("type"), F.col("optional"), F.col("default_value")))).alias("fields"))
     out = own.join(listed, ["path", "ordinal"], "left")
     none = F.array().cast("array<struct<position:int,field:string,type:string,optional:boolean,default_value:string>>")

@@ -28,6 +28,19 @@ def manifest_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("path", kind.alias("kind")).filter(F.col("kind").isNotNull())
 
 
+def touched(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new(path, size, mtime)`` with state: new, touched (other size or time) or same; only the first two need hashing."""
+    o = old.select("path", F.col("size").alias("os"), F.col("mtime").alias("ot"), F.lit(True).alias("was"))
+    other = (F.col("size") != F.col("os")) | ~F.col("mtime").eqNullSafe(F.col("ot"))
+    state = F.when(F.col("was").isNull(), "new").when(other, "touched").otherwise("same")
+    return new.join(o, "path", "left").withColumn("state", state).drop("os", "ot", "was")
+
+
+def counts(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(files, symbols) of an index, as its manifest states them."""
+    return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(symbols.agg(F.count(F.lit(1)).alias("symbols")))  # one row each
+
+
 def needs_full_rebuild(changed: int, files: int) -> bool:
     """More than a tenth of the files (of 1000 at least), or more than 100."""
     return changed > max(files, 1000) // 10 or changed > FULL_AT_LEAST
@@ -44,33 +57,75 @@ def inconsistent(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return only.unionByName(manifest.filter(F.coalesce("hash", F.lit("")) == "").select("path")).distinct()
 
 
-def save_index(tables: dict[str, DataFrame], folder: str) -> None:
+#: Layout of a saved index; one of another version isn't loaded.
+VERSION = 2
+
+
+def _generations(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete generations: those whose manifest, written last, is there."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
+    own = [int(n.rsplit("-", 1)[1]) for n in names if n.startswith(f"v{VERSION}-") and n.rsplit("-", 1)[1].isdigit()]
+    return sorted(n for n in own if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/v{VERSION}-{n}/manifest/_SUCCESS")))
+
+
+def save_index(tables: dict[str, DataFrame], folder: str, manifest: DataFrame) -> None:
+    """A new generation beside the last one, which may be what ``tables`` read; the one before that is dropped."""
+    spark = manifest.sparkSession
+    done = _generations(spark, folder)
+    to = f"{folder}/v{VERSION}-{done[-1] + 1 if done else 0}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.mode("overwrite").parquet(f"{to}/{name}")
+    odd = inconsistent(manifest, spark.read.parquet(f"{to}/files")).limit(5).collect()
+    if odd:
+        raise ValueError(f"manifest and files differ: {', '.join(r['path'] for r in odd)}")
+    manifest.write.mode("overwrite").parquet(f"{to}/manifest")
+    jvm = spark.sparkContext._jvm
+    for n in done[:-1]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/v{VERSION}-{n}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def load_index(spark: SparkSession, folder: str, names: tuple[str, ...] = ("files", "symbols", "imports", "calls", "fields")) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+    done = _generations(spark, folder)
+    if not done:
+        raise ValueError(f"no index in {folder}")
+    return {n: spark.read.parquet(f"{folder}/v{VERSION}-{done[-1]}/{n}") for n in names}
+
+
+def load_manifest(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(path, size, mtime, hash) of the saved index; None where there is none of this version."""
+    return load_index(spark, folder, ("manifest",))["manifest"] if _generations(spark, folder) else None
 
 
-def save_snapshot(symbols: DataFrame, folder: str, name: str = "unnamed") -> None:
-    """One partition a name, replaced alone; symbols without a name are left out."""
+def save_snapshot(symbols: DataFrame, folder: str, name: str = "unnamed", commit: str | None = None, files: DataFrame | None = None) -> None:
+    """One partition a name, replaced alone; symbols without a name are left out. Beside it, the commit and the numbers of files and symbols."""
     rows = symbols.filter(F.col("name") != "").select(*SNAPSHOT).withColumn("snapshot", F.lit(name))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(folder)
+    write = lambda df, to: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(to)
+    write(rows, f"{folder}/symbols")
+    n = (files if files is not None else symbols).agg(F.count_distinct("path").alias("files"))
+    about = n.crossJoin(rows.agg(F.count(F.lit(1)).alias("symbols")))  # one row each
+    write(about.select(F.lit(commit).cast("string").alias("commit"), "files", "symbols", F.lit(name).alias("snapshot")), f"{folder}/about")
 
 
 def load_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(folder).filter(F.col("snapshot").cast("string") == name)
+    rows = spark.read.parquet(f"{folder}/symbols").filter(F.col("snapshot").cast("string") == name)
     if rows.isEmpty():
         raise ValueError(f"no snapshot {name}")
     return rows.withColumn("ordinal", F.col("line_start"))
 
 
 def list_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder).select(F.col("snapshot").cast("string").alias("snapshot")).distinct().orderBy("snapshot")
+    """(snapshot, commit, files, symbols), by name."""
+    return spark.read.parquet(f"{folder}/about").select(F.col("snapshot").cast("string").alias("snapshot"), "commit", "files", "symbols").orderBy("snapshot")
 
 
 def delete_snapshot(spark: SparkSession, folder: str, name: str) -> bool:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/snapshot={name}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gone = False
+    for part in ("symbols", "about"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{part}/snapshot={name}")
+        gone |= path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

@@ -369,3 +369,6 @@ def _(spark, sf):
 @query("P22_P26_implements", _values("('Point', 'Point', 'impl', 'rust', 's.rs', 5), ('Top', 'Base', 'inherits', 'python', 's.py', 4), ('A', 'B', 'extends', 'javascript', 's.js', 2), ('Box', 'Shape', 'implements', 'java', 'S.java', 4), ('Box', 'Base', 'extends', 'java', 'S.java', 4), ('User', 'Name,', 'implements', 'go', 's.go', 7), ('User', 'Next', 'implements', 'go', 's.go', 7)", "implementor", "interface", "kind", "language", "path", "line"))
 def _(spark, sf):
     return implements.implementations(file_lines(_samples(spark)))
+
+
+from codeloom.plans import queries_more  # noqa: E402, F401  its queries are registered here too

@@ -521,7 +521,7 @@ def _script(text: str, lang: str, out: Found) -> None:
             if b >= 0:
                 classes.append((i, b))
     for i, b in classes:
-        out.add(s.at(i + 1), "class", None, s.doc_before(i), s.tokens[i].line, s.end_line(s.match[b]), exported(i))
+        out.add(s.at(i + 1), "class", None, None, s.tokens[i].line, s.end_line(s.match[b]), exported(i))
 
     def label(i: int) -> str:
         """The name of a function expression: of the test call that it is given to, or anonymous."""
@@ -552,9 +552,10 @@ def _script(text: str, lang: str, out: Found) -> None:
             statement = named and s.at(a - 1) not in ("=", "(", ",", ":", "return", "=>")
             end = s.end_line(_body(s, s.match[p] + 1))
             sig = s.span(p, s.match[p])
-            funcs.append((s.tokens[a].start, s.at(k) if statement else label(a), sig, s.doc_before(a), s.tokens[a].line, end, exported(a)))
-            if bound and s.at(a - 3) in ("const", "let", "var"):
-                funcs.append((s.tokens[a - 2].start, s.at(a - 2), sig, s.doc_before(a - 3), s.tokens[a - 2].line, end, exported(a - 3)))
+            bind = bound and s.at(a - 3) in ("const", "let", "var")
+            funcs.append((s.tokens[a].start, s.at(k) if statement else label(a), sig, s.tokens[a].line, end, exported(a) or bind and exported(a - 3)))
+            if bind:
+                funcs.append((s.tokens[a - 2].start, s.at(a - 2), sig, s.tokens[a].line, end, exported(a - 3)))
         elif t == "=>" and s.tokens[i].kind == "op":
             k = i - 1
             if s.at(k) != ")":  # a return type may stand between
@@ -573,15 +574,16 @@ def _script(text: str, lang: str, out: Found) -> None:
                 while back > 0 and s.at(back) not in (";", "{", "}", "=", "("):
                     back -= 1
                 eq = back if s.at(back) == "=" else eq
-            funcs.append((s.tokens[a].start, label(a), sig, s.doc_before(a), s.tokens[a].line, end, exported(a)))
+            bind = False
             if s.at(eq) == "=":
                 v = eq - 1
                 while v > 0 and s.at(v - 1) not in ("const", "let", "var", ";", "{", "}"):
                     v -= 1
-                if s.at(v - 1) in ("const", "let", "var") and s.is_word(v):
-                    funcs.append((s.tokens[v].start, s.at(v), sig, s.doc_before(v - 1), s.tokens[v].line, end, exported(v - 1)))
-    for _, name, sig, doc, a, e, ex in sorted(funcs, key=lambda r: r[0]):
-        out.add(name, "function", sig, doc, a, e, ex)
+                if bind := s.at(v - 1) in ("const", "let", "var") and s.is_word(v):
+                    funcs.append((s.tokens[v].start, s.at(v), sig, s.tokens[a].line, end, exported(v - 1)))
+            funcs.append((s.tokens[a].start, label(a), sig, s.tokens[a].line, end, exported(a) or bind and exported(v - 1)))
+    for _, name, sig, a, e, ex in sorted(funcs, key=lambda r: r[0]):
+        out.add(name, "function", sig, None, a, e, ex)
     for i, b in classes:
         for k in range(b + 1, s.match[b]):
             if s.is_word(k) and s.depth[k] == s.depth[b] + 1 and s.at(k + 1) in ("(", "<") and s.at(k - 1) not in (".", "=", "new", "@", "return", "(", ","):
@@ -593,9 +595,9 @@ def _script(text: str, lang: str, out: Found) -> None:
                 a = k
                 while s.at(a - 1) in ("async", "static", "get", "set", "public", "private", "protected", "readonly", "override", "*"):
                     a -= 1
-                methods.append((k, s.at(k), s.span(p, s.match[p]), s.doc_before(a), s.tokens[a].line, s.end_line(s.match[o])))
-    for _, name, sig, doc, a, e in sorted(methods):
-        out.add(name, "method", sig, doc, a, e, False)
+                methods.append((k, s.at(k), s.span(p, s.match[p]), s.tokens[a].line, s.end_line(s.match[o])))
+    for _, name, sig, a, e in sorted(methods):
+        out.add(name, "method", sig, None, a, e, False)
     if lang == "typescript":
         for word, kind in (("interface", "interface"), ("type", "type"), ("enum", "enum")):
             for i in range(n - 1):
@@ -610,7 +612,7 @@ def _script(text: str, lang: str, out: Found) -> None:
                         if b < 0:
                             continue
                         e = s.match[b]
-                    out.add(s.at(i + 1), kind, None, s.doc_before(i), s.tokens[i].line, s.end_line(e), exported(i))
+                    out.add(s.at(i + 1), kind, None, None, s.tokens[i].line, s.end_line(e), exported(i))
     for sym, (i, b) in zip([x for x in out.symbols if x["symbol_type"] == "class"], classes, strict=True):
         for k in range(b + 1, s.match[b]):
             if s.is_word(k) and s.depth[k] == s.depth[b] + 1 and (s.at(k + 1) == ":" or s.at(k + 1) == "?" and s.at(k + 2) == ":") and s.at(k - 1) in ("{", ";", "}", "private", "public", "protected", "readonly", "static") and lang == "typescript":

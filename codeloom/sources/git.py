@@ -1,7 +1,7 @@
 """Version history as tables, read by a Python data source on top of the git command.
 
-``kind``: log (commits of files), changes (paths changed since a commit), revisions (contents at
-commits). One input partition a path, so the history of a tree is read in parallel; every executor
+``kind``: log (commits of files), changes (paths changed since a commit), before (their contents at
+that commit), revisions (contents at commits). ``within`` keeps changes to a sub-folder. One input partition a path, so the history of a tree is read in parallel; every executor
 must see the repository folder.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 LOG = "path string, seq int, hash string, short_hash string, author string, date string, message string"
 CHANGES = "path string, status string"
 REVISIONS = "path string, hash string, content string"
+BEFORE = "path string, content string"
 
 
 def _git(repo: str, *args: str) -> str | None:
@@ -46,7 +47,7 @@ class GitSource(DataSource):
         return "codeloom_git"
 
     def schema(self) -> str:
-        return {"log": LOG, "changes": CHANGES, "revisions": REVISIONS}[self.options.get("kind", "log")]
+        return {"log": LOG, "changes": CHANGES, "revisions": REVISIONS, "before": BEFORE}[self.options.get("kind", "log")]
 
     def reader(self, schema) -> DataSourceReader:
         return GitReader(dict(self.options))
@@ -56,24 +57,38 @@ class GitReader(DataSourceReader):
     def __init__(self, options: dict):
         self.repo, self.kind = options["repo"], options.get("kind", "log")
         self.commit, self.limit = options.get("commit", "HEAD"), options.get("limit")
+        self.within = options.get("within", "")
         self.paths = [p for p in options.get("paths", "").split("\n") if p]
 
     def partitions(self) -> list[InputPartition]:
         if self.kind == "changes":
             return [InputPartition("")]
+        if self.kind == "before":
+            changed = sorted({p for p, _ in self.changed()})
+            return [InputPartition("\n".join(changed[k : k + 32])) for k in range(0, len(changed), 32)]
         paths = self.paths or (_git(self.repo, "ls-files") or "").splitlines()
         return [InputPartition(p) for p in paths]
 
+    def changed(self):
+        more = ["--", self.within] if self.within else []
+        for line in (_git(self.repo, "-c", "core.quotePath=false", "diff", "--name-status", self.commit, "HEAD", *more) or "").splitlines():
+            status, *names = line.split("\t")
+            if status[:1] == "R" and len(names) == 2:  # a rename is a deletion and an addition
+                yield names[0], "D"
+                yield names[1], "A"
+            elif status[:1] in "ADM" and names:
+                yield names[0], status[:1]
+
     def read(self, partition):
         path = partition.value
         if self.kind == "changes":
-            for line in (_git(self.repo, "diff", "--name-status", self.commit, "HEAD") or "").splitlines():
-                status, *names = line.split("\t")
-                if status[:1] == "R" and len(names) == 2:  # a rename is a deletion and an addition
-                    yield names[0], "D"
-                    yield names[1], "A"
-                elif status[:1] in "ADM" and names:
-                    yield names[0], status[:1]
+            yield from self.changed()
+            return
+        if self.kind == "before":
+            for path in partition.value.split("\n"):
+                content = _git(self.repo, "show", f"{self.commit}:{path}")
+                if content is not None:
+                    yield path, content
             return
         more = ["-n", str(self.limit)] if self.limit else []
         log = (_git(self.repo, "log", "--format=%H|%h|%an|%ai|%s", "--follow", *more, "--", path) or "").splitlines()
@@ -88,7 +103,7 @@ class GitReader(DataSourceReader):
 
 
 def read_git(spark: SparkSession, repo: str, kind: str = "log", **options: str) -> DataFrame:
-    """Options: paths (newline separated; all tracked files else), commit, limit."""
+    """Options: paths (newline separated; all tracked files else), commit, limit, within."""
     spark.dataSource.register(GitSource)
     r = spark.read.format("codeloom_git").option("repo", repo).option("kind", kind)
     for k, v in options.items():

@@ -77,3 +77,22 @@ const f = (a) => g(a);
 function h(b) { return f(b); }
 '''
 SAMPLES = {"s.rs": RUST, "s.go": GO, "S.java": JAVA, "s.c": C, "s.py": PY, "s.md": MD, "s.js": JS}
+#: More of some languages: TypeScript, traits, headings under headings.
+TRAITS = """/// doc
+pub trait Draw {}
+impl Draw for Point {
+    fn draw(&self) {}
+}
+pub(crate) static N: u8 = 1;
+"""
+OUTLINE = """intro
+# A
+text
+### B
+## C
+# D
+```js
+x
+```
+"""
+MORE = {"s.ts": TS, "t.rs": TRAITS, "n.md": OUTLINE}

@@ -191,6 +191,60 @@ def test_history_rules(spark):
     assert run((True, None, 3), (False, None, None), (True, None, 3))[0] == [(2, True)]  # a null signature leaves no trace
 
 
+def test_diff_in_a_folder_and_of_some_extensions(spark, tmp_path):
+    """Below the repository's root only that folder's files count, by the index's paths; other extensions and ignored folders don't."""
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@x", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    for d in ("sub", "sub/build", "other"):
+        (tmp_path / d).mkdir()
+    for name in ("sub/a.py", "sub/build/b.py", "other/c.py"):
+        (tmp_path / name).write_text("def one(a): pass\ndef two(): pass\n")
+    (tmp_path / "sub" / "d.js").write_text("function three(a) { return a; }\n")
+    git("init", "-q")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    for name in ("sub/a.py", "sub/build/b.py", "other/c.py"):
+        (tmp_path / name).write_text("def one(a, b): pass\n")
+    (tmp_path / "sub" / "d.js").write_text("function four(a) { return a; }\n")
+    git("add", "-A")
+    git("commit", "-qm", "two")
+    both = CodeIndex.of_tree(spark, str(tmp_path / "sub"))
+    got = {(r.path, r.change_type, r.name) for r in both.diff("HEAD~1").collect()}
+    assert got == {("a.py", "signature_changed", "one"), ("a.py", "deleted", "two"), ("d.js", "deleted", "three"), ("d.js", "added", "four")}
+    some = CodeIndex.of_tree(spark, str(tmp_path / "sub"), ("py",))
+    assert {(r.path, r.name) for r in some.since("HEAD~1").collect()} == {("a.py", "one"), ("a.py", "two")}
+    whole = CodeIndex.of_tree(spark, str(tmp_path), ("js",))
+    assert {(r.path, r.name) for r in whole.diff("HEAD~1").collect()} == {("sub/d.js", "three"), ("sub/d.js", "four")}
+
+
+def test_refreshed_reads_what_changed(spark, tmp_path, monkeypatch):
+    import os
+
+    from codeloom import engine
+
+    root, folder = tmp_path / "t", str(tmp_path / "cache")
+    root.mkdir()
+    for i in range(12):
+        (root / f"m{i}.py").write_text(f"def f{i}(a): return g{i}(a)\n")
+    rows = lambda x: sorted((r.path, r.name, r.signature) for r in x.symbols.collect())
+    first = CodeIndex.refreshed(spark, folder, str(root))
+    read = []
+    inner = engine.read_files
+    monkeypatch.setattr(engine, "read_files", lambda s, r, paths, *a: read.append(sorted(paths)) or inner(s, r, paths, *a))
+    assert rows(CodeIndex.refreshed(spark, folder, str(root))) == rows(first) and not read
+    (root / "m1.py").write_text("def f1(a, b): return g1(a)\n")
+    (root / "m2.py").unlink()
+    (root / "m12.py").write_text("def f12(): pass\n")
+    os.utime(root / "m3.py", (1, 1))  # another time, the same content
+    new = CodeIndex.refreshed(spark, folder, str(root))
+    assert read == [["m1.py", "m12.py", "m3.py"]] and rows(new) == rows(CodeIndex.of_tree(spark, str(root)))
+    assert rows(CodeIndex.refreshed(spark, folder, str(root))) == rows(new) and len(read) == 1
+    assert {r.path for r in maintain.load_manifest(spark, folder).collect()} == {r.path for r in new.files.collect()}
+    (root / "m4.py").write_bytes(b"\xff\xfe\x00")  # no longer text
+    assert "m4.py" not in {p for p, *_ in rows(CodeIndex.refreshed(spark, folder, str(root)))}
+    with pytest.raises(ValueError):
+        maintain.save_index({"files": new.files}, folder, new.files.select("path", "hash", "size").limit(1))
+
+
 def test_snapshots(index, spark, tmp_path):
     folder = str(tmp_path / "snap")
     index.snapshot(folder, "one")
