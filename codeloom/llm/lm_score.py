@@ -20,7 +20,14 @@ row holds the n-grams of about ``BLOCK_WORDS`` words in one hash partition, as a
    answers each block with the totals of the block's n-grams, in the same order.
 4. Each block joins the totals to its words and sums by document.
 
-What is moved is about 5 bytes a distinct n-gram of a block, and grows with the corpus.
+A column is cut into at most ``FAN`` fragments. A corpus that needs more partitions gets them in levels:
+the fragments of a team of blocks in one coarse partition are added up to one column, which is cut
+again, and the totals come back the same way. So fragments grow with the input, not with its square:
+at most 3 * FAN a block and level; levels grow with the logarithm (one to about 2 billion words, two
+to 2 * 10^12). What is moved is about 5 bytes a distinct n-gram of a column at each level.
+
+With ``least`` = 1 each text's own singletons would have count 1 after a context of count 1, S = 1: the
+model would praise what it has seen nowhere else. Hence 2.
 
 Defined results: words are runs of ASCII letters and digits and of other than ASCII characters, in
 lower case. Null texts and texts without words have 0 words, log_score 0 and a null mean; null and
@@ -49,7 +56,11 @@ ORDERS = 3
 BLOCK_WORDS = 2 << 20
 #: N-grams that a hash partition is expected to receive.
 PARTITION_GRAMS = 4 << 20
+#: Fragments that a column is cut into at most.
+FAN = 1024
 _BITS = 56
+_FRAGMENT = "part long, block long, n int, hashes binary, counts binary"
+_ANSWER = "part long, block long, n int, totals binary"
 
 
 def _squeeze(x: np.ndarray, kind: str) -> bytes:
@@ -131,10 +142,40 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[first], np.diff(np.r_[first, len(s)])
 
 
-def _edges(sorted_hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of each hash partition in a sorted column."""
-    cuts = np.array([(p << _BITS) // parts for p in range(parts + 1)], np.uint64)
-    return np.searchsorted(sorted_hashes, cuts)
+def _fragments(column: int, order: int, u: np.ndarray, c: np.ndarray, first: int, last: int, parts: int) -> pa.RecordBatch | None:
+    """The pieces of a sorted column in hash partitions ``first`` to ``last`` - 1 of ``parts``."""
+    cuts = np.array([(p << _BITS) // parts for p in range(first, last + 1)], np.uint64)
+    edge = np.searchsorted(u, cuts)
+    rows = np.flatnonzero(edge[1:] > edge[:-1])
+    if not len(rows):
+        return None
+    lo, hi = edge[rows], edge[rows + 1]
+    return pa.RecordBatch.from_arrays([
+        pa.array(rows + first, pa.int64()), pa.array([column] * len(rows), pa.int64()), pa.array([order] * len(rows), pa.int32()),
+        pa.array([_squeeze(np.diff(u[a:b], prepend=np.uint64(0)), "<u8") for a, b in zip(lo, hi, strict=True)], pa.binary()),
+        pa.array([_squeeze(c[a:b], "<u8") for a, b in zip(lo, hi, strict=True)], pa.binary()),
+    ], names=["part", "block", "n", "hashes", "counts"])
+
+
+def levels(words: int, partition_grams: int, fan: int) -> tuple[int, int]:
+    """(depth, width): ``width`` ** ``depth`` partitions, ``width`` of at most ``fan``, hold the n-grams of so many words."""
+    parts, depth = max(1, ceil(ORDERS * words / partition_grams)), 1
+    while fan**depth < parts:
+        depth += 1
+    width = max(1, int(parts ** (1 / depth)))
+    while width**depth < parts:
+        width += 1
+    return depth, width
+
+
+def teams(count: int, words: int, partition_grams: int, depth: int, width: int) -> list[int]:
+    """How many teams add up their fragments at each level but the last; a team's column holds about ``partition_grams``."""
+    out, grams = [], ORDERS * words / max(1, count)
+    for _ in range(depth - 1):
+        count = max(1, ceil(count * grams / width / partition_grams))
+        grams = partition_grams
+        out.append(count)
+    return out
 
 
 def block_grams(blocked: DataFrame, parts: int) -> DataFrame:
@@ -147,18 +188,22 @@ def block_grams(blocked: DataFrame, parts: int) -> DataFrame:
                 _, _, grams = _grams(table[i].as_py(), ids[i].as_py(), lengths[i].as_py())
                 for order, (_, h) in enumerate(grams, 1):
                     u, c = _distinct(h)
-                    edge = _edges(u, parts)
-                    rows = [p for p in range(parts) if edge[p + 1] > edge[p]]
-                    if not rows:
-                        continue
-                    lo, hi = edge[rows], edge[np.array(rows) + 1]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(rows, pa.int32()), pa.array([block[i].as_py()] * len(rows), pa.int64()), pa.array([order] * len(rows), pa.int32()),
-                        pa.array([_squeeze(np.diff(u[a:b], prepend=np.uint64(0)), "<u8") for a, b in zip(lo, hi, strict=True)], pa.binary()),
-                        pa.array([_squeeze(c[a:b], "<u4") for a, b in zip(lo, hi, strict=True)], pa.binary()),
-                    ], names=["part", "block", "n", "hashes", "counts"])
+                    if (out := _fragments(block[i].as_py(), order, u, c, 0, parts, parts)) is not None:
+                        yield out
+
+    return blocked.mapInArrow(run, _FRAGMENT)
 
-    return blocked.mapInArrow(run, "part int, block long, n int, hashes binary, counts binary")
+
+def _added(t: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The n-grams of some fragments, their counts added up, and the place of each fragment's n-grams there."""
+    own = [np.cumsum(_expand(t.column("hashes")[int(r)].as_py(), "<u8"), dtype=np.uint64) for r in rows]
+    table, _ = _distinct(np.concatenate(own))
+    total = np.zeros(len(table), np.int64)
+    at = []
+    for r, h in zip(rows, own, strict=True):
+        at.append(np.searchsorted(table, h).astype(np.int32))
+        total[at[-1]] += _expand(t.column("counts")[int(r)].as_py(), "<u8").astype(np.int64)
+    return table, total, at
 
 
 def count_tables(grams: DataFrame) -> DataFrame:
@@ -170,27 +215,53 @@ def count_tables(grams: DataFrame) -> DataFrame:
         out: list[bytes] = [b""] * len(n)
         for order in np.unique(n):
             rows = np.flatnonzero(n == order)
-            own = [np.cumsum(_expand(t.column("hashes")[int(r)].as_py(), "<u8"), dtype=np.uint64) for r in rows]
-            table, _ = _distinct(np.concatenate(own))
-            total = np.zeros(len(table), np.int64)
-            at = []
-            for r, h in zip(rows, own, strict=True):
-                at.append(np.searchsorted(table, h).astype(np.int32))
-                total[at[-1]] += _expand(t.column("counts")[int(r)].as_py(), "<u4")
+            _, total, at = _added(t, rows)
             for r, a in zip(rows, at, strict=True):
                 out[r] = _squeeze(total[a], "<u8")
         return t.select(["part", "block", "n"]).append_column("totals", pa.array(out, pa.binary()))
 
-    return grams.groupBy("part").applyInArrow(run, "part int, block long, n int, totals binary")
+    return grams.groupBy("part").applyInArrow(run, _ANSWER)
+
+
+def counted(grams: DataFrame, width: int, sizes: list[int], level: int = 1) -> DataFrame:
+    """count_tables over partitions in levels: ``sizes`` holds the number of teams of each level but the last."""
+    if level > len(sizes):
+        return count_tables(grams)
+    grams = grams.withColumn("team", F.pmod(F.xxhash64("block"), F.lit(sizes[level - 1])))
+    parts = width ** (level + 1)
+
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        n, part, team = t.column("n").to_numpy(), t.column("part")[0].as_py(), t.column("team")[0].as_py()
+        out = []
+        for order in np.unique(n):
+            table, total, _ = _added(t, np.flatnonzero(n == order))
+            out.append(_fragments(team, int(order), table, total, part * width, (part + 1) * width, parts))
+        return pa.Table.from_batches(out)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        n, order, part = left.column("n").to_numpy(), right.column("n").to_numpy(), right.column("part").to_numpy()
+        out: list[bytes] = [b""] * len(n)
+        for k in np.unique(n):
+            rows, back = np.flatnonzero(n == k), np.flatnonzero(order == k)
+            total = np.concatenate([_expand(right.column("totals")[int(r)].as_py(), "<u8") for r in back[np.argsort(part[back])]])
+            for r, a in zip(rows, _added(left, rows)[2], strict=True):
+                out[r] = _squeeze(total[a], "<u8")
+        return left.select(["part", "block", "n"]).append_column("totals", pa.array(out, pa.binary()))
+
+    finer = counted(grams.groupBy("part", "team").applyInArrow(merge, _FRAGMENT), width, sizes, level + 1)
+    up = finer.select(F.col("part"), F.expr(f"part div {width}").alias("coarse"), F.col("block").alias("team"), "n", "totals")
+    return grams.groupBy("part", "team").cogroup(up.groupBy("coarse", "team")).applyInArrow(answer, _ANSWER)
 
 
-def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, block_words: int = BLOCK_WORDS, partition_grams: int = PARTITION_GRAMS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, block_words: int = BLOCK_WORDS, partition_grams: int = PARTITION_GRAMS, fan: int = FAN, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, log_score, mean_log_score) of every row."""
     kind = docs.schema[key].dataType
     blocked = cut(document_blocks(docs, text, key, block_words))
-    words = blocked.agg(F.sum("words")).first()[0] or 0
-    parts = max(1, ceil(ORDERS * words / partition_grams))
-    totals = count_tables(block_grams(blocked, parts))
+    words, number = blocked.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    depth, width = levels(words, partition_grams, fan)
+    totals = counted(block_grams(blocked, width), width, teams(number, words, partition_grams, depth, width))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

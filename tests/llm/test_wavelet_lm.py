@@ -83,11 +83,11 @@ def brute_scores(texts, alpha=L.ALPHA, least=L.LEAST):
     return out
 
 
-@pytest.mark.parametrize("block_words,partition_grams", [(L.BLOCK_WORDS, L.PARTITION_GRAMS), (100, 500)])
-def test_scores_against_brute_force(edge, block_words, partition_grams):
+@pytest.mark.parametrize("block_words,partition_grams,fan", [(L.BLOCK_WORDS, L.PARTITION_GRAMS, L.FAN), (100, 500, L.FAN), (100, 6000, 6), (100, 9000, 3)])
+def test_scores_against_brute_force(edge, block_words, partition_grams, fan):
     rows = [r for r in edge.collect()]
     want = Counter((r.doc_id, n, round(s, 2)) for r, (n, s) in zip(rows, brute_scores([r.text for r in rows]), strict=True))
-    got = Counter((r.doc_id, r.n_words, round(r.log_score, 2)) for r in L.lm_scores(edge, block_words=block_words, partition_grams=partition_grams).collect())
+    got = Counter((r.doc_id, r.n_words, round(r.log_score, 2)) for r in L.lm_scores(edge, block_words=block_words, partition_grams=partition_grams, fan=fan).collect())
     close = lambda a: sorted(((i is None, i or 0, n, s) for (i, n, s), c in a.items() for _ in range(c)))
     a, b = close(want), close(got)
     assert len(a) == len(b) and all(x[:3] == y[:3] and abs(x[3] - y[3]) <= 0.011 for x, y in zip(a, b, strict=True))
@@ -97,3 +97,20 @@ def test_scores_edges(edge, nothing):
     for r in L.lm_scores(edge).collect():
         assert (r.mean_log_score is None) == (r.n_words == 0) and (r.n_words or r.log_score == 0)
     assert L.lm_scores(nothing).count() == 0
+
+
+def test_fragments_grow_with_the_input():
+    """By computation at 1 GB to 100 TB: fragments a word and what one group gathers have a bound."""
+    for gb in (1, 10, 100, 1_000, 10_000, 100_000):
+        words = 160_000_000 * gb
+        blocks = math.ceil(words / L.BLOCK_WORDS)
+        depth, width = L.levels(words, L.PARTITION_GRAMS, L.FAN)
+        sizes = L.teams(blocks, words, L.PARTITION_GRAMS, depth, width)
+        assert width <= L.FAN and width**depth * L.PARTITION_GRAMS >= L.ORDERS * words and depth <= 3
+        made = gathered = 0
+        each = blocks  # columns in one partition of the level before
+        for k, size in enumerate([*sizes, 1]):
+            made += L.ORDERS * each * width**k * width
+            gathered = max(gathered, each / size)
+            each = size
+        assert made <= 2 * depth * L.ORDERS * L.FAN * blocks and gathered <= L.FAN
