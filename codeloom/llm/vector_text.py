@@ -27,6 +27,7 @@ _p = 1
 for _i in range(_SPAN):
     _POWER[_i] = _p
     _p = _p * 0x9E3779B97F4A7C15 % 2**64
+_STEP = np.uint64(_p)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -72,5 +73,9 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin = np.zeros(len(data), np.int64)
     begin[at] = at
     np.maximum.accumulate(begin, out=begin)
-    pos = (np.arange(len(data)) - begin) % _SPAN
-    return mix(np.add.reduceat(_BYTE[data] * _POWER[pos], at)), np.searchsorted(at, off)
+    pos = np.arange(len(data)) - begin
+    power = _POWER[pos % _SPAN]
+    if len(far := np.flatnonzero(pos >= _SPAN)):  # bytes of very long words, in scripts without spaces say
+        step = pos[far] // _SPAN
+        power[far] *= np.cumprod(np.full(int(step.max()), _STEP))[step - 1]
+    return mix(np.add.reduceat(_BYTE[data] * power, at)), np.searchsorted(at, off)

@@ -75,7 +75,7 @@ class Encoder:
 
     The pattern never crosses a single space between two other characters: the space opens the next
     token. So such texts are cut there and each piece is looked up; texts with two adjacent white
-    spaces are given to the tokeniser whole.
+    spaces, and all texts under a pattern other than the vocabulary's own, are given to the tokeniser whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -86,12 +86,12 @@ class Encoder:
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.pieces = _Pieces(self.plain, self.code)
-        self.double = re.compile(r"\s\s")
+        self.whole_only = re.compile(r"\s\s" if pattern == default_vocabulary()[1] else "")
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
-        if self.double.search(text):
+        if self.whole_only.search(text):
             return np.array(self.plain.encode_ordinary(text), self.kind)
         head, *rest = text.split(" ")
         first = array(self.code, self.plain.encode_ordinary(head)).tobytes()

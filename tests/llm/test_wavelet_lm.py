@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from codeloom.llm import lm_score as L
 from codeloom.llm import wavelet as W
+from codeloom.llm.vector_text import word_hashes
 
 
 @settings(max_examples=60, deadline=None)
@@ -61,6 +62,27 @@ def test_shards_round_trip(edge, nothing):
     assert total == sum(k[1].count(token) * n for k, n in want.items())
 
 
+def test_other_patterns_are_given_to_the_tokeniser_whole():
+    path, _ = W.default_vocabulary()
+    for pattern in (r"[a-z]+ [a-z]+|[\s\S]", r"\S+\s?|\s+"):
+        e = W.Encoder(path, pattern)
+        for text in ("one two three, four.", "a  b", "x"):
+            assert e(text).tolist() == e.plain.encode_ordinary(text)
+
+
+def test_hashes_of_very_long_words():
+    """Words that swap bytes 1,024 or 2,048 apart differ; equal ones don't."""
+    base = bytearray(b"a" * 5000)
+    words = [bytes(base)]
+    for i in (10, 10 + 1024, 10 + 2048, 10 + 4096):
+        w = bytearray(base)
+        w[i] = ord("b")
+        words.append(bytes(w))
+    data = b" ".join([*words, words[2]])
+    h, _ = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(set(h.tolist())) == 5 and h[2] == h[5]
+
+
 def brute_scores(texts, alpha=L.ALPHA, least=L.LEAST):
     docs = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower()) for t in texts]
     grams = [Counter(tuple(d[i : i + n]) for d in docs for i in range(len(d) - n + 1)) for n in (1, 2, 3)]
