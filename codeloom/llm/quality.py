@@ -35,7 +35,8 @@ STOP_WORDS = (
 _SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 #: The share of stop words that prose has at least, and by how many words a text may fall short of it.
 STOP_SHARE, STOP_SLACK = 0.02, 0.6
-_ALONE = "([" + "".join(f"\\p{{Is{x}}}" for x in _SCRIPTS) + "])"
+#: None of them has characters below U+0E00, so most text is passed over by one comparison a character.
+_ALONE = "([\\x{E00}-\\x{10FFFF}&&[" + "".join(f"\\p{{Is{x}}}" for x in _SCRIPTS) + "]])"
 SYMBOLS = "[#$%&*|~^<>{}\\[\\]\\\\=+_]"
 
 
