@@ -6,8 +6,11 @@ import argparse
 import os
 import sys
 
+from pyspark.sql import functions as F
+
 from codeloom.engine import CodeIndex, search_tree
 from codeloom.operators.render import FORMATS, render
+from codeloom.operators.search import with_bodies
 from codeloom.plans import maintain
 from codeloom.session import build_session
 from codeloom.sources.files import EXTENSIONS
@@ -83,8 +86,8 @@ def run(argv: list[str], spark=None) -> str:
     spark = spark or build_session(master=os.environ.get("SPARK_MASTER", "local[*]"))
     show = lambda kind, rows, **about: render(kind, rows, a.format, **about)
     snapshots = os.path.join(a.cache_dir or os.path.join(os.path.abspath(a.path), ".codeloom"), "snapshots")
-    if a.command == "query" and (a.fast or a.no_cache and a.cache_dir is None and not a.show_body):
-        return show("query", search_tree(spark, os.path.abspath(a.path), a.symbol, a.fast, a.exact, symbol_type=a.type, full=a.full, exports_only=a.exports_only, limit=a.limit))
+    if a.command == "query" and not a.show_body and (a.fast or a.no_cache and a.cache_dir is None):
+        return show("query", search_tree(spark, os.path.abspath(a.path), a.symbol, a.fast, a.exact, symbol_type=a.type, full=a.full, exports_only=a.exports_only, limit=a.limit), context=a.context == "full")
     if a.command == "snapshot" and a.list:
         return show("snapshots", maintain.list_snapshots(spark, snapshots))
     if a.command == "snapshot" and a.delete:
@@ -98,13 +101,11 @@ def run(argv: list[str], spark=None) -> str:
             return show("map", rows if a.level > 1 or a.format == "ai" else x.stats(), level=a.level, stats=x.stats().collect())
         case "query":
             rows = x.query(a.symbol, exact=a.exact, symbol_type=a.type, full=a.full, exports_only=a.exports_only, limit=a.limit)
-            if a.show_body:
-                from codeloom.operators.search import with_bodies
-
-                rows = with_bodies(rows, x.files)
-            return show("query", rows)
+            return show("query", with_bodies(rows, x.files) if a.show_body else rows, context=a.context == "full", body=a.show_body)
         case "inspect":
-            return show("query", x.inspect(a.file, full=a.full, exports_only=a.exports_only))
+            rows = x.inspect(a.file, full=a.full, exports_only=a.exports_only)
+            file = x.files.filter(F.col("path") == a.file).select("language", "size").first()
+            return show("inspect", with_bodies(rows, x.files).orderBy("ordinal") if a.show_body else rows, file=a.file, language=file["language"], size=file["size"], body=a.show_body)
         case "deps":
             return show("deps", x.imports_of(a.target) if a.direction == "imports" else x.used_by(a.target), target=a.target, direction=a.direction)
         case "index":
@@ -114,9 +115,9 @@ def run(argv: list[str], spark=None) -> str:
         case "since":
             return show("breaking" if a.breaking else "diff", x.since(a.commit, a.breaking), commit=a.commit)
         case "callers":
-            return show("callers", x.callers(a.symbol, a.fuzzy, a.limit), query=a.symbol)
+            return show("callers", x.callers(a.symbol, a.fuzzy, a.limit), query=a.symbol, **({} if a.limit is None else {"total": x.callers(a.symbol, a.fuzzy).count()}))
         case "callees":
-            return show("callees", x.callees(a.symbol, a.fuzzy, a.limit), query=a.symbol)
+            return show("callees", x.callees(a.symbol, a.fuzzy, a.limit), query=a.symbol, **({} if a.limit is None else {"total": x.callees(a.symbol, a.fuzzy).count()}))
         case "tests":
             return show("tests", x.tests(a.symbol, a.fuzzy), query=a.symbol)
         case "untested":

@@ -123,8 +123,52 @@ def _map(rows: list, about: dict) -> list[str]:
     return out
 
 
+def _body(r) -> str | None:
+    return r["body"] if "body" in (r.asDict() if hasattr(r, "asDict") else r) else None
+
+
+def _query(rows: list, about: dict) -> list[str]:
+    """Signatures and docs only with full context."""
+    out = [f"[RESULTS:{len(rows)}]"]
+    for r in rows:
+        more = _opt("sig:", r["signature"]) + _opt("doc:", r["docstring"]) if about.get("context") else ""
+        out.append(f"{r['name']}|{_code(r['symbol_type'])}|{r['path']}|{r['line_start']}-{r['line_end']}" + ("|exp" if r["is_exported"] else "") + more)
+        if (body := _body(r)) is not None:
+            out[-1] += "|body:"
+            out += [f"  {line}" for line in body.splitlines()]
+    return out
+
+
+def _inspect(rows: list, about: dict) -> list[str]:
+    head = [f"[FILE:{about.get('file', '')}]", f"LANG:{about.get('language', '')} SIZE:{about.get('size', 0)} SYMS:{len(rows)}"]
+    return head + [f"{r['name']}|{r['symbol_type'][:1]}|{r['line_start']}-{r['line_end']}{_opt('sig:', r['signature'])}" for r in rows]
+
+
+def _sections(rows: list, about: dict) -> list[str]:
+    """Symbols in the default form: a section each."""
+    out = []
+    for r in rows:
+        n = r["line_end"] - r["line_start"] + 1
+        out += ["", f"## {r['name']}", f"- Type: {r['symbol_type']}{' (exported)' if r['is_exported'] else ''}", f"- File: {r['path']}", f"- Lines: {r['line_start']}-{r['line_end']}"]
+        out += [f"- Signature: {r['signature']}"] if r["signature"] else []
+        out += [f"- Documentation: {r['docstring']}"] if about.get("context") and r["docstring"] else []
+        if about.get("body"):
+            out += ["", "Code:", _body(r)] if _body(r) is not None else ["", f"(body of {n} lines left out)"]
+    return out
+
+
+def _columns(rows: list, about: dict) -> list[dict]:
+    """Symbols in the human form: the columns of its table."""
+    out = []
+    for r in rows:
+        one = {"Name": r["name"], "Type": r["symbol_type"], "File": r["path"], "Lines": f"{r['line_start']}-{r['line_end']}", "Exported": "yes" if r["is_exported"] else "no"}
+        if about.get("context"):
+            one |= {"Signature": r["signature"], "Documentation": r["docstring"]}
+        out.append(one | ({"Code": _body(r)} if about.get("body") else {}))
+    return out
+
+
 _LINES = {
-    "query": (lambda n, a: f"[RESULTS:{n}]", lambda r: f"{r['name']}|{_code(r['symbol_type'])}|{r['path']}|{r['line_start']}-{r['line_end']}" + ("|exp" if r["is_exported"] else "") + _opt("sig:", r["signature"])),
     "deps": (lambda n, a: f"[DEPS:{a.get('target', '')}|{a.get('direction', 'imports')}]", lambda r: str(r[0])),
     "callers": (lambda n, a: f"[CALLERS:{a.get('query', '')}|{n}]", lambda r: f"{r['caller_name']}|{_code(r['caller_type'])}|{r['path']}:{r['line']}"),
     "callees": (lambda n, a: f"[CALLEES:{a.get('query', '')}|{n}]", lambda r: f"{r['callee_name']}|{_code(r['callee_type'])}|{r['path']}:{r['line']}{_opt('sig:', r['context'])}"),
@@ -133,7 +177,7 @@ _LINES = {
     "implements": (lambda n, a: f"[IMPLEMENTS:{a.get('query', '')}|{n}]", lambda r: f"{r['implementor']}|{r['interface']}|{r['kind']}|{r['language']}|{r['path']}:{r['line']}"),
     "snapshots": (lambda n, a: f"[SNAPSHOTS:{n}]", lambda r: str(r[0])),
 }
-_BLOCKS = {"stats": _stats, "diff": _diff, "breaking": _breaking, "untested": _untested, "entrypoints": _entrypoints, "trace": _trace, "blame": _blame, "history": _history, "types": _types, "schema": _schema, "map": _map}
+_BLOCKS = {"query": _query, "inspect": _inspect, "stats": _stats, "diff": _diff, "breaking": _breaking, "untested": _untested, "entrypoints": _entrypoints, "trace": _trace, "blame": _blame, "history": _history, "types": _types, "schema": _schema, "map": _map}
 
 
 def _table(rows: list, human: bool) -> list[str]:
@@ -159,5 +203,9 @@ def render(result: str, rows: Iterable, fmt: str = "default", **about) -> str:
             return "\n".join(_BLOCKS[result](rows, about))
         head, line = _LINES[result]
         return "\n".join([head(len(rows), about), *map(line, rows)])
-    title = f"{result.replace('_', ' ').capitalize()} ({len(rows)})"
+    count = f"{len(rows)} of {about['total']}" if result in ("callers", "callees") and about.get("total", len(rows)) > len(rows) else str(len(rows))
+    title = f"{result.replace('_', ' ').capitalize()} ({count})"
+    if result in ("query", "inspect") and rows:
+        title = f"{len(rows)} symbols" if result == "query" else f"{about.get('file', '')}: {about.get('language', '')}, {about.get('size', 0)} bytes, {len(rows)} symbols"
+        return "\n".join([f"# {title}", *_sections(rows, about)] if fmt == "default" else [title, *_table(_columns(rows, about), True)])
     return "\n".join([f"# {title}" if fmt == "default" else title, *_table(rows, fmt == "human")])

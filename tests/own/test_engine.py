@@ -289,8 +289,22 @@ def test_command_line(spark, tree, tmp_path):
     assert run("callers", "load", str(tree)).startswith("[CALLERS:load|3]\nmain|f|app.py:12")
     assert "F:size?|int|=1" in run("schema", "Store", str(tree))
     assert run("untested", str(tree)).startswith("[UNTESTED:")
-    assert run("query", "load", str(tree), "--fast").startswith("[RESULTS:2]\nload|f|helpers.py|1-2|exp|sig:()")
+    assert run("query", "load", str(tree), "--fast").startswith("[RESULTS:2]\nload|f|helpers.py|1-2|exp\n")
+    assert run("query", "load", str(tree), "--fast", "--context", "full").startswith("[RESULTS:2]\nload|f|helpers.py|1-2|exp|sig:()\n")
+    assert run("query", "load", str(tree), "--exact", "--show-body").split("\n") == ["[RESULTS:1]", "load|f|helpers.py|1-2|exp|body:", "  def load():", "      return read()"]
+    size = len((tree / "helpers.py").read_text())
+    assert run("inspect", "helpers.py", str(tree)).split("\n") == ["[FILE:helpers.py]", f"LANG:python SIZE:{size} SYMS:3", "load|f|1-2|sig:()", "write|f|3-4|sig:(x)", "read|f|5-6|sig:()"]
     assert run("map", str(tree), "--level", "3").split("\n")[4:6] == ["[FILES]", f"README.md|markdown|{len((tree / 'README.md').read_text())}|h:Title@1-1,h:helpers.py@3-3"]
     assert cli.run(["--format", "human", "stats", str(tree)], spark).startswith("Stats") and "| metric |" in cli.run(["stats", str(tree)], spark)
     with pytest.raises(ValueError):
         cli.run(["stats", str(tree / "nothing")], spark)
+
+
+def test_symbol_forms_and_totals(spark, tree):
+    show = lambda form, *a: cli.run(["--format", form, *a], spark)
+    plain = show("default", "query", "load", str(tree), "--exact", "--show-body", "--context", "full").split("\n")
+    assert plain == ["# 1 symbols", "", "## load", "- Type: function (exported)", "- File: helpers.py", "- Lines: 1-2", "- Signature: ()", "", "Code:", "def load():", "    return read()"]
+    human = show("human", "inspect", "helpers.py", str(tree)).split("\n")
+    assert human[0].startswith("helpers.py: python, ") and human[0].endswith(" 3 symbols") and human[2].split() == "| Name | Type | File | Lines | Exported |".split()
+    assert show("default", "callers", "load", str(tree), "--limit", "2").startswith("# Callers (2 of 3)\n") and show("default", "callers", "load", str(tree), "--limit", "9").startswith("# Callers (3)\n")
+    assert "No results." in show("human", "query", "no_such_name", str(tree))
