@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     def add(name: str, *args: str, flags: tuple[str, ...] = (), limit: bool = False, path: bool = True):
         c = sub.add_parser(name)
         for a in args:
-            c.add_argument(a)
+            c.add_argument(a.rstrip("?"), **({"nargs": "?"} if a.endswith("?") else {}))
         if path:
             c.add_argument("path", nargs="?", default=".")
         c.add_argument("--extensions", default=",".join(EXTENSIONS))
@@ -60,9 +60,7 @@ def parser() -> argparse.ArgumentParser:
     add("implements", "interface", flags=("--fuzzy", "--trait-only"))
     add("types", "symbol", flags=("--fuzzy",))
     add("schema", "symbol", flags=("--fuzzy",))
-    s = add("snapshot", flags=("--list",))
-    s.add_argument("--name", default="unnamed")
-    s.add_argument("--delete")
+    add("snapshot", "name?", flags=("--list",)).add_argument("--delete")
     add("compare", "snapshot")
     return p
 
@@ -143,10 +141,12 @@ def run(argv: list[str], spark=None) -> str:
         case "schema":
             return show("schema", x.schema(a.symbol, a.fuzzy))
         case "snapshot":
-            x.snapshot(snapshots, a.name)
-            return f"[SNAPSHOT_SAVED:{a.name}]\nFILES:{x.files.count()} SYMBOLS:{x.symbols.count()}"
+            name = a.name or "unnamed"
+            x.snapshot(snapshots, name)
+            return show("snapshot_saved", maintain.list_snapshots(spark, snapshots).filter(F.col("snapshot") == name))
         case "compare":
-            return show("diff", x.compare(snapshots, a.snapshot), commit=a.snapshot)
+            rows = x.compare(snapshots, a.snapshot)
+            return show("diff", rows, commit=maintain.list_snapshots(spark, snapshots).filter(F.col("snapshot") == a.snapshot).first()["commit"] or a.snapshot)
     raise AssertionError(a.command)
 
 

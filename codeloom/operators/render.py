@@ -144,6 +144,10 @@ def _inspect(rows: list, about: dict) -> list[str]:
     return head + [f"{r['name']}|{r['symbol_type'][:1]}|{r['line_start']}-{r['line_end']}{_opt('sig:', r['signature'])}" for r in rows]
 
 
+def _saved(rows: list, _: dict) -> list[str]:
+    return [line for r in rows for line in (f"[SNAPSHOT_SAVED:{r['snapshot']}]", f"FILES:{r['files']} SYMBOLS:{r['symbols']}{f' COMMIT:{r['commit']}' if r['commit'] else ''}")]
+
+
 def _sections(rows: list, about: dict) -> list[str]:
     """Symbols in the default form: a section each."""
     out = []
@@ -177,7 +181,7 @@ _LINES = {
     "implements": (lambda n, a: f"[IMPLEMENTS:{a.get('query', '')}|{n}]", lambda r: f"{r['implementor']}|{r['interface']}|{r['kind']}|{r['language']}|{r['path']}:{r['line']}"),
     "snapshots": (lambda n, a: f"[SNAPSHOTS:{n}]", lambda r: str(r[0])),
 }
-_BLOCKS = {"query": _query, "inspect": _inspect, "stats": _stats, "diff": _diff, "breaking": _breaking, "untested": _untested, "entrypoints": _entrypoints, "trace": _trace, "blame": _blame, "history": _history, "types": _types, "schema": _schema, "map": _map}
+_BLOCKS = {"query": _query, "inspect": _inspect, "snapshot_saved": _saved, "stats": _stats, "diff": _diff, "breaking": _breaking, "untested": _untested, "entrypoints": _entrypoints, "trace": _trace, "blame": _blame, "history": _history, "types": _types, "schema": _schema, "map": _map}
 
 
 def _table(rows: list, human: bool) -> list[str]:

@@ -111,14 +111,18 @@ def save_snapshot(symbols: DataFrame, folder: str, name: str = "unnamed", commit
 
 
 def load_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/symbols").filter(F.col("snapshot").cast("string") == name)
-    if rows.isEmpty():
+    if list_snapshots(spark, folder).filter(F.col("snapshot") == name).isEmpty():
         raise ValueError(f"no snapshot {name}")
+    rows = spark.read.parquet(f"{folder}/symbols").filter(F.col("snapshot").cast("string") == name)
     return rows.withColumn("ordinal", F.col("line_start"))
 
 
 def list_snapshots(spark: SparkSession, folder: str) -> DataFrame:
-    """(snapshot, commit, files, symbols), by name."""
+    """(snapshot, commit, files, symbols), by name; no rows before the first is saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/about")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/about/snapshot=*"))
+    if not found:  # no folder, or all deleted
+        return spark.createDataFrame([], "snapshot string, commit string, files long, symbols long")
     return spark.read.parquet(f"{folder}/about").select(F.col("snapshot").cast("string").alias("snapshot"), "commit", "files", "symbols").orderBy("snapshot")
 
 

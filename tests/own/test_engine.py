@@ -300,6 +300,17 @@ def test_command_line(spark, tree, tmp_path):
         cli.run(["stats", str(tree / "nothing")], spark)
 
 
+def test_snapshots_on_the_command_line(spark, tree, tmp_path):
+    run = lambda *a: cli.run(["--format", "ai", "--cache-dir", str(tmp_path), *a], spark)
+    assert run("snapshot", "any", str(tree), "--list") == "[SNAPSHOTS:0]"
+    with pytest.raises(ValueError):
+        run("compare", "first", str(tree))
+    head, counts = run("snapshot", "first", str(tree)).split("\n")
+    assert head == "[SNAPSHOT_SAVED:first]" and counts.startswith("FILES:4 SYMBOLS:")
+    assert run("snapshot", "any", str(tree), "--list") == "[SNAPSHOTS:1]\nfirst" and run("compare", "first", str(tree)) == "NO_CHANGES"
+    assert run("snapshot", "any", str(tree), "--delete", "first") == "deleted" and run("snapshot", "any", str(tree), "--list") == "[SNAPSHOTS:0]"
+
+
 def test_symbol_forms_and_totals(spark, tree):
     show = lambda form, *a: cli.run(["--format", form, *a], spark)
     plain = show("default", "query", "load", str(tree), "--exact", "--show-body", "--context", "full").split("\n")
