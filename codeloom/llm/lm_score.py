@@ -23,8 +23,8 @@ row holds the n-grams of about ``BLOCK_WORDS`` words in one hash partition, as a
 A column is cut into at most ``FAN`` fragments. A corpus that needs more partitions gets them in levels:
 the fragments of a team of blocks in one coarse partition are added up to one column, which is cut
 again, and the totals come back the same way. So fragments grow with the input, not with its square:
-at most 3 * FAN a block and level; levels grow with the logarithm (one to about 2 billion words, two
-to 2 * 10^12). What is moved is about 5 bytes a distinct n-gram of a column at each level.
+at most 3 * FAN a block and level; levels grow with the logarithm (one to 1.4 * 10^9 words, two
+to 1.5 * 10^12). What is moved is about 5 bytes a distinct n-gram of a column at each level.
 
 With ``least`` = 1 each text's own singletons would have count 1 after a context of count 1, S = 1: the
 model would praise what it has seen nowhere else. Hence 2.
