@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
 from codeloom.operators.relations import bucket_of, bucketed, enclosing, file_lines, first_definitions
 from codeloom.operators.search import name_matches, score
-from codeloom.session import cut
+from codeloom.session import cut, side, small
 
 TOP = "<top-level>"
 DEPTH = 10
@@ -35,19 +35,28 @@ def callers(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = Fal
     return out.orderBy("path", "line").limit(limit) if limit is not None else out
 
 
-def body_calls(symbols: DataFrame, calls: DataFrame) -> DataFrame:
+def body_calls(symbols: DataFrame, calls: DataFrame, broadcast: bool = False) -> DataFrame:
     """(path, symbol_ordinal, sname, sline, ordinal, call_name, rel_line, context): the calls inside
-    each symbol's span, rel_line 1 at its first line."""
+    each symbol's span, rel_line 1 at its first line. ``broadcast``: the symbols were found small.
+
+    Lines outside all spans are left out first, by a subquery: unlike a join it is planned below
+    whatever takes a line apart into calls, so lines are shuffled and not their calls with a copy of
+    the line each.
+    """
     s = symbols.select(F.col("path").alias("sp"), F.col("ordinal").alias("symbol_ordinal"), F.col("name").alias("sname"), F.col("line_start").alias("sline"), F.col("line_end").alias("send"))
     s = bucketed(s, "sline", "send", "sb")
-    hit = calls.join(s, (F.col("path") == F.col("sp")) & (bucket_of("line") == F.col("sb")) & F.col("line").between(F.col("sline"), F.col("send")))
+    s = F.broadcast(s) if broadcast else s.hint("shuffle_hash")
+    inside = lambda path, line: (path == F.col("sp")) & (bucket_of(line) == F.col("sb")) & line.between(F.col("sline"), F.col("send"))
+    outer = lambda name: F.col(f"outside.{name}").outer()  # noqa: E731  qualified: a bare name may be met inside the subquery
+    near = calls.alias("outside").filter(s.filter(inside(outer("path"), outer("line"))).exists())
+    hit = near.join(s, inside(F.col("path"), F.col("line")))
     return hit.select("path", "symbol_ordinal", "sname", "sline", "ordinal", "call_name", (F.col("line") - F.col("sline") + 1).alias("rel_line"), "context")
 
 
 def _resolve(found: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Join calls to the first definition of their name; externals keep nulls."""
+    """Join calls to the first definition of their name; externals keep nulls. Definitions are broadcast if they are small, since few names make up most calls."""
     d = first_definitions(symbols).select(F.col("name").alias("dname"), F.col("path").alias("dpath"), F.col("ordinal").alias("dordinal"), F.col("symbol_type").alias("dtype"), F.col("line_start").alias("dline"), F.col("signature").alias("dsignature"))
-    return found.join(d, F.col("call_name") == F.col("dname"), "left")
+    return found.join(side(cut(d)), F.col("call_name") == F.col("dname"), "left")
 
 
 def callees(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = False, limit: int | None = None) -> DataFrame:
@@ -164,27 +173,31 @@ def impact(symbols: DataFrame, calls: DataFrame, files: DataFrame, wanted: str,
 def trace(symbols: DataFrame, calls: DataFrame, source: str, target: str, fuzzy: bool = False, depth: int = DEPTH) -> DataFrame:
     """(step, name, symbol_type, path, line): a shortest call path, by breadth-first search.
 
-    Each level is one join of the frontier with the edges, cut into the shared folder; only whether
-    it met the target comes to the driver. Ties go to the smaller rank of the caller, then to the
-    earlier call. Paths have at most depth + 1 steps.
+    Each level looks up the calls inside the frontier's symbols and the definitions of their names,
+    so the graph itself is never shuffled; a frontier is broadcast if it is small. Each is cut into
+    the shared folder; only whether it met the target comes to the driver. Ties go to the smaller
+    rank of the caller, then to the earlier call. Paths have at most depth + 1 steps.
     """
     spark = symbols.sparkSession
     schema = "step int, name string, symbol_type string, path string, line int"
-    starts = symbols.filter(name_matches(F.col("name"), source, fuzzy))
-    goals = symbols.filter(name_matches(F.col("name"), target, fuzzy)).select(F.lower("name").alias("goal")).distinct()
-    inside = body_calls(symbols, calls)
-    each = inside.groupBy("path", "symbol_ordinal", "sname", "sline", "call_name").agg(F.min("ordinal").alias("call_ordinal"))
-    r = _resolve(each, symbols)
-    known = F.col("dname").isNotNull()
-    node = F.struct(F.col("call_name").alias("name"), F.when(known, F.col("dtype")).otherwise("function").alias("symbol_type"), F.when(known, F.col("dpath")).otherwise("<external>").alias("path"), F.when(known, F.col("dline")).otherwise(F.lit(0)).cast("int").alias("line"))
-    edges = cut(r.select(F.col("sname").alias("fname"), F.col("path").alias("fpath"), F.col("sline").alias("fline"), "call_ordinal", node.alias("to")))
+    own = symbols.select("path", "ordinal", "name", "symbol_type", "signature", "line_start", "line_end")
+    goals = side(cut(symbols.filter(name_matches(F.col("name"), target, fuzzy)).select(F.lower("name").alias("goal")).distinct()))
+    here = cut(own.filter(name_matches(F.col("name"), source, fuzzy)))
     first = F.struct(F.col("name"), F.col("symbol_type"), F.col("path"), F.col("line_start").alias("line"))
-    front = cut(starts.select(F.array(F.col("path"), F.lpad(F.col("ordinal").cast("string"), 10, "0")).alias("rank"), first.alias("at"), F.array(first).alias("steps")))
+    front = cut(here.select(F.array(F.col("path"), F.lpad(F.col("ordinal").cast("string"), 10, "0")).alias("rank"), first.alias("at"), F.array(first).alias("steps")))
     seen = cut(front.select(F.concat_ws(":", "at.path", F.lower("at.name")).alias("key")).distinct())
     for _ in range(depth):
+        spans = cut(here.join(front.select("at.name", "at.path", F.col("at.line").alias("line_start")).distinct(), ["name", "path", "line_start"], "left_semi"))
+        inside = body_calls(spans, calls, small(spans))
+        each = cut(inside.groupBy("path", "sname", "sline", "call_name").agg(F.min("ordinal").alias("call_ordinal")))
+        here = cut(own.join(side(cut(each.select(F.col("call_name").alias("name")).distinct())), "name", "left_semi"))
+        r = _resolve(each, here)
+        known = F.col("dname").isNotNull()
+        node = F.struct(F.col("call_name").alias("name"), F.when(known, F.col("dtype")).otherwise("function").alias("symbol_type"), F.when(known, F.col("dpath")).otherwise("<external>").alias("path"), F.when(known, F.col("dline")).otherwise(F.lit(0)).cast("int").alias("line"))
+        edges = r.select(F.col("sname").alias("fname"), F.col("path").alias("fpath"), F.col("sline").alias("fline"), "call_ordinal", node.alias("to"))
         nxt = front.join(edges, (F.col("at.name") == F.col("fname")) & (F.col("at.path") == F.col("fpath")) & (F.col("at.line") == F.col("fline")))
         nxt = cut(nxt.select(F.concat("rank", F.array(F.lpad(F.col("call_ordinal").cast("string"), 10, "0"))).alias("rank"), F.col("to").alias("at"), F.concat("steps", F.array("to")).alias("steps")))
-        met = nxt.join(goals, F.lower("at.name") == F.col("goal"), "left_semi").orderBy("rank").limit(1).collect()
+        met = nxt.join(goals, F.lower("at.name") == F.col("goal"), "left_semi").orderBy("rank", "steps").limit(1).collect()
         if met:
             return spark.createDataFrame([(i + 1, *s) for i, s in enumerate(met[0]["steps"])], schema)
         key = F.concat_ws(":", "at.path", F.lower("at.name"))

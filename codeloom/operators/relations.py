@@ -8,7 +8,7 @@ calls    (path, ordinal, call_name, line, context)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
@@ -48,8 +48,8 @@ def bucketed(spans: DataFrame, start: str, end: str, bucket: str = "bucket") ->
     return spans.withColumn(bucket, F.explode(F.sequence(F.expr(f"{start} div {BUCKET}"), F.expr(f"greatest({start}, {end}) div {BUCKET}"))))
 
 
-def bucket_of(line: str):
-    return F.expr(f"{line} div {BUCKET}")
+def bucket_of(line: str | Column) -> Column:
+    return F.call_function("div", F.col(line) if isinstance(line, str) else line, F.lit(BUCKET))
 
 
 def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only up to this many bytes, counted, not estimated.
+BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "codeloom", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -47,3 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder; survives the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame) -> bool:
+    """Whether the rows of ``df``, which must be flat and cheap to read again, may be broadcast."""
+    size = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def side(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is small; else joins with it shuffle."""
+    return F.broadcast(df) if small(df) else df
