@@ -145,9 +145,8 @@ def entrypoint_category(name: Column, kind: Column) -> Column:
     return F.when(main, "main").when(api, "api").otherwise("unused")
 
 
-def span_text(content: Column, start: Column, end: Column) -> Column:
-    """Lines start..end (1-based, inclusive) of a content."""
-    ls = lines(content)
+def span_text(ls: Column, start: Column, end: Column) -> Column:
+    """Lines start..end (1-based, inclusive) of an array of lines."""
     return F.array_join(F.slice(ls, F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(0))), "\n")
 
 

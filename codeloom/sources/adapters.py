@@ -32,20 +32,22 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(lines: DataFrame) -> DataFrame:
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    w = lines.withColumn("last", F.max("line").over(Window.partitionBy("path"))).withColumn("w", words).filter(F.size("w") > 0)
-    nxt = F.lead("line").over(Window.partitionBy("path").orderBy("line"))
+    """Only a line's first two words go through the windows, not its text."""
+    word = lambda before: F.regexp_extract("text", rf"\A{before}[^A-Za-z]*+([A-Za-z]++)", 1)
+    own = Window.partitionBy("path")
+    w = lines.select("path", "line", word("").alias("name"), word("[^A-Za-z]*+[A-Za-z]++").alias("second"))
+    w = w.withColumn("last", F.max("line").over(own)).filter(F.col("name") != "")
+    nxt = F.lead("line").over(own.orderBy("line"))
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("line") % 9 + 1)
     none = lambda k: F.lit(None).cast(k)
-    name = F.element_at("w", 1)
-    sig = F.when(F.size("w") > 1, F.concat(F.lit("("), F.get("w", F.lit(1)), F.lit(")")))
-    return w.select("path", F.col("line").alias("ordinal"), name.alias("name"), kind.alias("symbol_type"), sig.alias("signature"), none("string").alias("docstring"), F.col("line").alias("line_start"), F.coalesce(nxt - 1, "last").cast("int").alias("line_end"), none("int").alias("parent_ordinal"), name.rlike("^[A-Z]").alias("is_exported"))
+    sig = F.when(F.col("second") != "", F.concat(F.lit("("), F.col("second"), F.lit(")")))
+    return w.select("path", F.col("line").alias("ordinal"), "name", kind.alias("symbol_type"), sig.alias("signature"), none("string").alias("docstring"), F.col("line").alias("line_start"), F.coalesce(nxt - 1, "last").cast("int").alias("line_end"), none("int").alias("parent_ordinal"), F.col("name").rlike("^[A-Z]").alias("is_exported"))
 
 
 def calls(lines: DataFrame) -> DataFrame:
     """A line's words after the first, each once, in their order; no shuffle."""
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
-    names = F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))))
+    names = F.array_distinct(F.slice(words, 2, 2_000_000_000))
     w = lines.select("path", "line", F.posexplode(names).alias("pos", "call_name"), F.col("text").alias("context"))
     return w.select("path", (F.col("line") * 100_000 + F.col("pos")).cast("int").alias("ordinal"), "call_name", "line", "context")
 
