@@ -50,7 +50,7 @@ def test_trace_shuffles_no_more_than_its_frontiers(spark):
 def test_bodies_split_a_file_once(spark):
     text = "".join(f"line {i}\n" for i in range(1, 41))
     s = _symbols(spark, [("a.py", i, f"n{i}", "function", None, i, min(40, i + i % 5)) for i in range(1, 41)] + [("gone.py", 0, "g", "function", None, 1, 1)])
-    for cap in (None,):
+    for cap in (None, 2):
         df = search.with_bodies(s, _files(spark, {"a.py": text}), cap=cap)
         assert _plan(df).index("Join") < _plan(df).index("split(")  # below the join of a file's symbols with its lines
         want = {i: "\n".join(f"line {j}" for j in range(i, min(40, i + i % 5) + 1)) for i in range(1, 41)}
