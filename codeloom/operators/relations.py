@@ -8,7 +8,7 @@ calls    (path, ordinal, call_name, line, context)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
@@ -52,13 +52,24 @@ def bucket_of(line: str | Column) -> Column:
     return F.call_function("div", F.col(line) if isinstance(line, str) else line, F.lit(BUCKET))
 
 
+def stretches(symbols: DataFrame) -> DataFrame:
+    """(sp, since, until, enc): lines of a file in stretches that don't overlap, each with the
+    narrowest symbol around it. Symbols meet only the lines where one begins or has just ended."""
+    s = symbols.select(F.col("path").alias("sp"), F.col("line_start").alias("s0"), F.col("line_end").alias("s1"), F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("ordinal").alias("sordinal"), F.col("name").alias("sname"), F.col("symbol_type").alias("stype"), F.col("line_start").alias("sline"), F.col("line_end").alias("send")).alias("s"))
+    edges = s.select(F.col("sp").alias("ep"), F.explode(F.array("s0", F.col("s1") + 1)).alias("since")).filter("since is not null").distinct()
+    met = edges.join(bucketed(s, "s0", "s1", "sb"), (F.col("ep") == F.col("sp")) & (bucket_of("since") == F.col("sb")) & F.col("since").between(F.col("s0"), F.col("s1")), "left")
+    each = met.groupBy(F.col("ep").alias("sp"), "since").agg(F.min("s").alias("enc"))
+    until = F.lead("since").over(Window.partitionBy("sp").orderBy("since")) - 1
+    return each.withColumn("until", until).filter("enc is not null").select("sp", "since", "until", "enc")
+
+
 def enclosing(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """calls with enc: the narrowest symbol around each (sname, stype, sline, ...), or null.
 
     Equal widths go to the lower ordinal. One equi-join on (path, bucket of lines) with a range
-    condition; the choice is a combined minimum, not a window.
+    condition. A line is in one stretch at most, so calls are shuffled once and neither sorted nor
+    grouped, and the hashed side has at most a bucket's lines to a key.
     """
-    s = symbols.select(F.col("path").alias("sp"), F.col("line_start").alias("s0"), F.col("line_end").alias("s1"), F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("ordinal").alias("sordinal"), F.col("name").alias("sname"), F.col("symbol_type").alias("stype"), F.col("line_start").alias("sline"), F.col("line_end").alias("send")).alias("s"))
-    s = bucketed(s, "s0", "s1", "sb")
-    hit = calls.join(s, (F.col("path") == F.col("sp")) & (bucket_of("line") == F.col("sb")) & F.col("line").between(F.col("s0"), F.col("s1")), "left")
-    return hit.groupBy(*calls.columns).agg(F.min("s").alias("enc"))
+    s = bucketed(stretches(symbols), "since", "until", "sb").hint("shuffle_hash")
+    hit = calls.join(s, (F.col("path") == F.col("sp")) & (bucket_of("line") == F.col("sb")) & F.col("line").between(F.col("since"), F.col("until")), "left")
+    return hit.select(*calls.columns, "enc")

@@ -56,3 +56,14 @@ def test_bodies_split_a_file_once(spark):
         want = {i: "\n".join(f"line {j}" for j in range(i, min(40, i + i % 5) + 1)) for i in range(1, 41)}
         want = {i: b if cap is None or b.count("\n") < cap else None for i, b in want.items()}
         assert {r.ordinal: r.body for r in df.collect()} == {**want, 0: None}
+
+
+def test_enclosing_groups_no_calls(spark):
+    rnd = random.Random(7)
+    spans = [(p, i, a, min(150, a + rnd.choice((0, 3, 40, 120)))) for p in ("a.py", "b.py") for i, a in enumerate(rnd.choices(range(1, 150), k=60))]
+    s = _symbols(spark, [(p, i, f"{p}{i}", "function", None, a, b) for p, i, a, b in spans])
+    calls = [(p, i, "f", line, "") for p in ("a.py", "b.py", "c.py") for i, line in enumerate(range(1, 171))]
+    df = enclosing(spark.createDataFrame(calls, CALLS), s)
+    assert "Aggregate" not in _plan(df).split("Join", 1)[0]
+    around = lambda p, n: min(((b - a, i) for q, i, a, b in spans if q == p and a <= n <= b), default=None)
+    assert {(r.path, r.line): r.enc and (r.enc.span, r.enc.sordinal) for r in df.collect()} == {(p, n): around(p, n) for p, _, _, n, _ in calls}
