@@ -66,11 +66,11 @@ def callees(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = Fal
     (one more than the true line, as the reported contract has it) and text.
     """
     targets = symbols.filter(name_matches(F.col("name"), X.tail_of(wanted), fuzzy))
-    inside = body_calls(targets, calls)
-    first = inside.groupBy("path", "call_name", "rel_line").agg(F.min(F.struct("sline", "symbol_ordinal", "ordinal", "context")).alias("c")).select("path", "call_name", "rel_line", "c.sline", "c.ordinal", "c.context")
-    r = _resolve(first, symbols)
+    r = _resolve(body_calls(targets, calls), symbols)  # before the choice, so that only external calls take their line along
     known = F.col("dname").isNotNull()
-    out = r.select(F.col("call_name").alias("callee_name"), F.when(known, F.col("dtype")).otherwise("function").alias("callee_type"), F.when(known, F.col("dpath")).otherwise("<external>").alias("path"), F.when(known, F.col("dline")).otherwise(F.col("sline") + F.col("rel_line")).cast("int").alias("line"), F.when(known, F.coalesce("dsignature", F.lit(""))).otherwise(F.col("context")).alias("context"))
+    told = (F.when(known, F.col("dtype")).otherwise("function").alias("callee_type"), F.when(known, F.col("dpath")).otherwise("<external>").alias("at"), F.when(known, F.col("dline")).otherwise(F.col("sline") + F.col("rel_line")).cast("int").alias("line"), F.when(known, F.coalesce("dsignature", F.lit(""))).otherwise(F.col("context")).alias("context"))
+    first = r.groupBy("path", "call_name", "rel_line").agg(F.min(F.struct("sline", "symbol_ordinal", "ordinal", *told)).alias("c"))
+    out = first.select(F.col("call_name").alias("callee_name"), "c.callee_type", F.col("c.at").alias("path"), "c.line", "c.context")
     return out.orderBy("path", "line", "callee_name").limit(limit) if limit is not None else out
 
 

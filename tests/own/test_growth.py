@@ -67,3 +67,13 @@ def test_enclosing_groups_no_calls(spark):
     assert "Aggregate" not in _plan(df).split("Join", 1)[0]
     around = lambda p, n: min(((b - a, i) for q, i, a, b in spans if q == p and a <= n <= b), default=None)
     assert {(r.path, r.line): r.enc and (r.enc.span, r.enc.sordinal) for r in df.collect()} == {(p, n): around(p, n) for p, _, _, n, _ in calls}
+
+
+def test_callees_shuffle_lines_before_they_are_taken_apart(spark):
+    f = _files(spark, {"a.py": "The cat sat\nA The dog ran\nThe end cat\n", "b.py": "None The\nThe dog\nsat Any\n"})
+    ls = file_lines(f)
+    df = callgraph.callees(A.symbols(ls), A.calls(ls), "The")
+    words = _plan(df).index("posexplode(array_distinct(")
+    assert words < _plan(df).index("LeftSemi")
+    got = sorted((r.callee_name, r.path, r.line, r.context) for r in df.collect())
+    assert got == [("cat", "<external>", 2, "The cat sat"), ("dog", "<external>", 3, "The dog"), ("end", "<external>", 4, "The end cat"), ("sat", "b.py", 3, "(Any)")]
