@@ -75,27 +75,17 @@ def is_test_file(path: Column, lang: Column | None = None) -> Column:
 TEST_MARKS = {"rust": (("#[test]", "#[tokio::test]"), "#["), "java": (("@Test",), "@")}
 
 
-def has_test_mark(lang: Column, upward: Column) -> Column:
-    """A test's mark on the definition line or above, from ``upward``: the lines from there to the top.
-
-    The search ends at the first line that is neither blank nor a mark nor a comment, which for a
-    plain definition is the definition line itself.
-    """
-
-    def scan(marks: tuple[str, ...], opening: str) -> Column:
-        def step(a: Column, x: Column) -> Column:
-            found = F.lit(False)
-            for m in marks:
-                found = found | x.contains(m)
-            line = F.trim(x)
-            return F.struct((a["go"] & ((line == "") | line.startswith(opening) | line.startswith("//"))).alias("go"), (a["hit"] | (a["go"] & found)).alias("hit"))
-
-        return F.aggregate(upward, F.struct(F.lit(True).alias("go"), F.lit(False).alias("hit")), step)["hit"]
-
-    out = F
+def test_mark(lang: Column, line: Column) -> tuple[Column, Column]:
+    """Whether a test's mark is in the line, and whether a search for one passes over it: over a
+    blank line, a mark or a comment."""
+    found, passed, text = F, F, F.trim(line)
     for k, (marks, opening) in TEST_MARKS.items():
-        out = out.when(lang == k, scan(marks, opening))
-    return out.otherwise(F.lit(False))
+        held = F.lit(False)
+        for m in marks:
+            held = held | line.contains(m)
+        found = found.when(lang == k, held)
+        passed = passed.when(lang == k, (text == "") | text.startswith(opening) | text.startswith("//"))
+    return found.otherwise(F.lit(False)), passed.otherwise(F.lit(False))
 
 
 def is_test_symbol(name: Column, lang: Column, marked: Column) -> Column:

@@ -74,17 +74,39 @@ def callees(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = Fal
     return out.orderBy("path", "line", "callee_name").limit(limit) if limit is not None else out
 
 
+def marked_lines(files: DataFrame) -> DataFrame:
+    """(mp, at): the lines from which a search upward meets a test's mark.
+
+    The search ends at the first line that isn't passed over, so the last mark must not be before
+    the last such line. Only files of languages with marks are taken apart.
+    """
+    found, passed = X.test_mark(F.col("language"), F.col("text"))
+    own = files.filter(F.col("language").isin(*X.TEST_MARKS)).select("path", "language", F.posexplode(X.lines(F.col("content"))).alias("at", "text"))
+    own = own.select("path", F.col("at") + 1, found.alias("found"), passed.alias("passed")).toDF("mp", "at", "found", "passed")
+    w = Window.partitionBy("mp").orderBy("at")
+    last = lambda which: F.max(F.when(which, F.col("at"))).over(w)
+    met = own.select("mp", "at", last(F.col("found")).alias("mark"), last(~F.col("passed")).alias("stop"))
+    return met.filter(F.col("mark") >= F.coalesce("stop", F.lit(0))).select("mp", "at")
+
+
+def with_marks(rows: DataFrame, files: DataFrame, line: Column) -> DataFrame:
+    """rows (path, ...) with their file's language, and marked: whether a test's mark stands at a line."""
+    named = rows.withColumn("marked_at", line).join(files.select("path", "language"), "path", "left")
+    met = named.join(marked_lines(files), (F.col("path") == F.col("mp")) & (F.col("marked_at") == F.col("at")), "left")
+    return met.withColumn("marked", F.col("mp").isNotNull()).drop("marked_at", "mp", "at")
+
+
 def definition_lines(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """symbols with language, definition (the text of their first line) and marked: whether a test's
     mark stands there."""
-    with_lines = symbols.join(files.select("path", "language", X.lines(F.col("content")).alias("ls")), "path", "left")
-    upward = F.reverse(F.slice(F.col("ls"), 1, F.greatest(F.col("line_start"), F.lit(0))))
-    return with_lines.withColumn("definition", F.get(F.col("ls"), F.col("line_start") - 1)).withColumn("marked", F.coalesce(X.has_test_mark(F.col("language"), upward), F.lit(False))).drop("ls")
+    ls = file_lines(files).toDF("lp", "ln", "definition")
+    d = with_marks(symbols, files, F.col("line_start")).join(ls, (F.col("path") == F.col("lp")) & (F.col("line_start") == F.col("ln")), "left")
+    return d.select(*symbols.columns, "language", "definition", "marked")
 
 
 def test_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """symbols with language and is_test."""
-    d = definition_lines(symbols, files)
+    """symbols with language, marked and is_test."""
+    d = with_marks(symbols, files, F.col("line_start"))
     return d.withColumn("is_test", X.is_test_symbol(F.col("name"), F.col("language"), F.col("marked")))
 
 
@@ -122,7 +144,8 @@ def coverage(symbols: DataFrame, untested_rows: DataFrame) -> DataFrame:
 def entrypoints(symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
     """(category, name, symbol_type, path, line, signature) of visible symbols that nothing calls."""
     called = calls.select(F.col("call_name").alias("name")).distinct()
-    own = test_symbols(symbols, files).filter(~X.is_test_file(F.col("path")) & ~F.col("is_test") & ~F.col("symbol_type").isin(*X.DOCS))
+    is_test = X.is_test_symbol(F.col("name"), F.col("language"), F.col("marked"))
+    own = definition_lines(symbols, files).filter(~X.is_test_file(F.col("path")) & ~is_test & ~F.col("symbol_type").isin(*X.DOCS))
     seen = own.filter(X.exported_by_definition(F.col("name"), F.col("language"), F.col("definition"))).join(called, "name", "left_anti")
     return seen.select(X.entrypoint_category(F.col("name"), F.col("symbol_type")).alias("category"), "name", "symbol_type", "path", F.col("line_start").alias("line"), "signature")
 

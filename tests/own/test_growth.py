@@ -77,3 +77,17 @@ def test_callees_shuffle_lines_before_they_are_taken_apart(spark):
     assert words < _plan(df).index("LeftSemi")
     got = sorted((r.callee_name, r.path, r.line, r.context) for r in df.collect())
     assert got == [("cat", "<external>", 2, "The cat sat"), ("dog", "<external>", 3, "The dog"), ("end", "<external>", 4, "The end cat"), ("sat", "b.py", 3, "(Any)")]
+
+
+def test_marks_are_found_without_the_lines_of_a_file_at_each_symbol(spark):
+    rnd = random.Random(3)
+    rust = rnd.choices(["#[test]", "  #[a]", "", "// c", "fn f() {}", "x(); // #[test]"], k=80)
+    java = rnd.choices(["@Test", " @A", "", "// @Test", "void f() {}"], k=80)
+    f = _files(spark, {"a.rs": "\n".join([*rust, "end"]), "b.java": "\n".join([*java, "end"]), "c.py": "#[test]\nx"})
+    s = _symbols(spark, [(p, i, "f", "function", None, i, i) for p in ("a.rs", "b.java", "c.py") for i in range(1, 81)])
+    df = callgraph.test_symbols(s, f)
+    assert "aggregate(" not in _plan(df)
+    want = {"a.rs": _marked(rust, ("#[test]", "#[tokio::test]"), "#["), "b.java": _marked(java, ("@Test",), "@"), "c.py": set()}
+    got = df.collect()
+    assert len(got) == 240
+    assert {p: {r.line_start for r in got if r.path == p and r.marked} for p in want} == want
