@@ -25,12 +25,12 @@ def call_matches(call: Column, context: Column, wanted: str, fuzzy: bool) -> Col
     return hit
 
 
-def callers(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = False, limit: int | None = None) -> DataFrame:
-    """(caller_name, caller_type, path, line, context); none if no such symbol is defined."""
+def callers(symbols: DataFrame, calls: DataFrame, wanted: str, fuzzy: bool = False, limit: int | None = None, near: DataFrame | None = None) -> DataFrame:
+    """(caller_name, caller_type, path, line, context); none if no such symbol is defined. ``near``: the symbols of all files with such calls, where they are at hand."""
     defined = symbols.filter(name_matches(F.col("name"), X.tail_of(wanted), fuzzy)).limit(1).select(F.lit(1).alias("one"))
     hits = calls.filter(call_matches(F.col("call_name"), F.col("context"), wanted, fuzzy))
     first = hits.groupBy("path", "line").agg(F.min(F.struct("ordinal", "call_name", "context")).alias("c")).select("path", "line", "c.ordinal", "c.context")
-    at = enclosing(first, symbols).crossJoin(F.broadcast(defined))
+    at = enclosing(first, symbols if near is None else near).crossJoin(F.broadcast(defined))
     out = at.select(F.coalesce("enc.sname", F.lit(TOP)).alias("caller_name"), F.coalesce("enc.stype", F.lit("function")).alias("caller_type"), "path", "line", "context")
     return out.orderBy("path", "line").limit(limit) if limit is not None else out
 
@@ -114,10 +114,9 @@ def tests_of(symbols: DataFrame, calls: DataFrame, files: DataFrame, wanted: str
     """(test_name, test_type, path, line, call_line, context): calls of the raw name from tests."""
     hits = calls.filter(name_matches(F.col("call_name"), wanted, fuzzy))
     first = hits.groupBy("path", "line").agg(F.min(F.struct("ordinal", "context")).alias("c")).select("path", "line", "c.ordinal", "c.context")
-    marked = test_symbols(symbols, files).select("path", F.col("ordinal").alias("sordinal2"), "is_test")
-    at = enclosing(first, symbols).withColumn("sordinal2", F.col("enc.sordinal")).join(marked, ["path", "sordinal2"], "left")
-    file_test = X.is_test_file(F.col("path"))
-    at = at.filter(file_test | F.coalesce("is_test", F.lit(False)))
+    at = with_marks(enclosing(first, symbols), files, F.col("enc.sline"))
+    is_test = F.col("enc").isNotNull() & X.is_test_symbol(F.col("enc.sname"), F.col("language"), F.col("marked"))
+    at = at.filter(X.is_test_file(F.col("path")) | F.coalesce(is_test, F.lit(False)))
     return at.select(F.coalesce("enc.sname", F.lit("<test-file-level>")).alias("test_name"), F.coalesce("enc.stype", F.lit("function")).alias("test_type"), "path", F.coalesce("enc.sline", "line").alias("line"), F.col("line").alias("call_line"), "context")
 
 
@@ -185,12 +184,16 @@ def impact(symbols: DataFrame, calls: DataFrame, files: DataFrame, wanted: str,
     best = ranked.first()
     if best is None:
         return {"target": ranked.limit(1), "shortlist": ranked.limit(5)}
-    who = callers(symbols, calls, best["name"]).filter(F.col("caller_name") != best["name"])
-    tests = tests_of(symbols, calls, files, best["name"])
+    name = best["name"]
+    hits = cut(calls.filter(call_matches(F.col("call_name"), F.col("context"), name, False) | (F.col("call_name") == name)))  # all calls are read once
+    paths = hits.select(F.col("path").alias("hp")).distinct()
+    near = cut(symbols.alias("outside").filter(paths.filter(F.col("hp") == F.col("outside.path").outer()).exists()))
+    who = cut(callers(symbols, hits, name, near=near).filter(F.col("caller_name") != name))
+    tests = cut(tests_of(near, hits, files, name))
     cap = lambda df: df.orderBy("path", "line").limit(limit) if limit is not None else df
     lone = F.lit(best["symbol_type"] in ("function", "method"))
     totals = who.agg(F.count(F.lit(1)).alias("callers")).crossJoin(tests.agg(F.count(F.lit(1)).alias("tests"))).withColumn("is_untested", lone & (F.col("tests") == 0))
-    return {"best": best["name"], "target": ranked.limit(1), "shortlist": ranked.limit(5), "callers": cap(who), "tests": cap(tests), "totals": totals}
+    return {"best": name, "target": ranked.limit(1), "shortlist": ranked.limit(5), "callers": cap(who), "tests": cap(tests), "totals": totals}
 
 
 def trace(symbols: DataFrame, calls: DataFrame, source: str, target: str, fuzzy: bool = False, depth: int = DEPTH) -> DataFrame:

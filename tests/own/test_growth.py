@@ -91,3 +91,13 @@ def test_marks_are_found_without_the_lines_of_a_file_at_each_symbol(spark):
     got = df.collect()
     assert len(got) == 240
     assert {p: {r.line_start for r in got if r.path == p and r.marked} for p in want} == want
+
+
+def test_impact_reads_all_calls_once(spark):
+    f = _files(spark, {"a.py": "def load():\n    load()\n", "test_a.py": "def test_load():\n    load()\n"})
+    s = _symbols(spark, [("a.py", 0, "load", "function", None, 1, 2), ("test_a.py", 0, "test_load", "function", None, 1, 2)])
+    c = spark.createDataFrame([("a.py", 0, "load", 2, "load()"), ("test_a.py", 0, "load", 2, "load()")], CALLS)
+    x = callgraph.impact(s, c, f, "load", limit=None)
+    assert "Join LeftOuter" not in _plan(x["totals"])
+    assert [tuple(r) for r in x["totals"].collect()] == [(1, 1, False)]
+    assert [(r.caller_name, r.path) for r in x["callers"].collect()] == [("test_load", "test_a.py")]
