@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import signatures as S
 from codeloom.functions import text as X
 from codeloom.operators.search import name_matches
+from codeloom.session import cut, side
 
 
 def signature_types(symbols: DataFrame) -> DataFrame:
@@ -18,16 +19,19 @@ def signature_types(symbols: DataFrame) -> DataFrame:
 
 def resolve_types(named: DataFrame, symbols: DataFrame, column: str = "type") -> DataFrame:
     """named with def_path and def_line: the first base type that is a class or enum; exact names
-    before names that differ in case, then the order of the base types."""
+    before names that differ in case, then the order of the base types.
+
+    Each distinct type is resolved once, so that few names with many uses make no large partitions.
+    """
     own = symbols.filter(F.col("symbol_type").isin("class", "enum"))
     exact = own.groupBy("name").agg(F.min(F.struct("path", "ordinal", "line_start")).alias("d")).select(F.col("name").alias("en"), F.col("d").alias("ed"))
     loose = own.groupBy(F.lower("name").alias("ln")).agg(F.min(F.struct("path", "ordinal", "line_start")).alias("ld"))
-    keys = named.columns
-    b = named.withColumn("bases", S.base_types(F.col(column))).select(*keys, F.posexplode_outer("bases").alias("pos", "base"))
+    b = named.select(F.col(column).alias("rt")).filter("rt is not null").distinct().select("rt", F.posexplode(S.base_types(F.col("rt"))).alias("pos", "base"))
     met = b.join(exact, F.col("base") == F.col("en"), "left").join(loose, F.lower("base") == F.col("ln"), "left")
     d = F.coalesce("ed", "ld")
     best = F.min(F.when(d.isNotNull(), F.struct("pos", F.when(F.col("ed").isNotNull(), 0).otherwise(1).alias("tier"), d.alias("d"))))
-    return met.groupBy(*keys).agg(best.alias("r")).select(*keys, F.col("r.d.path").alias("def_path"), F.col("r.d.line_start").alias("def_line"))
+    r = met.groupBy("rt").agg(best.alias("r")).filter("r is not null").select("rt", F.col("r.d.path").alias("def_path"), F.col("r.d.line_start").alias("def_line"))
+    return named.join(side(cut(r)), F.col(column) == F.col("rt"), "left").drop("rt")
 
 
 def types_of(symbols: DataFrame, wanted: str, fuzzy: bool = False) -> DataFrame:

@@ -79,6 +79,18 @@ def test_callees_shuffle_lines_before_they_are_taken_apart(spark):
     assert got == [("cat", "<external>", 2, "The cat sat"), ("dog", "<external>", 3, "The dog"), ("end", "<external>", 4, "The end cat"), ("sat", "b.py", 3, "(Any)")]
 
 
+def _marked(lines, marks, opening):
+    out = set()
+    for i in range(len(lines)):
+        for line in lines[i::-1]:
+            if any(m in line for m in marks):
+                out.add(i + 1)
+                break
+            if line.strip() and not line.strip().startswith((opening, "//")):
+                break
+    return out
+
+
 def test_marks_are_found_without_the_lines_of_a_file_at_each_symbol(spark):
     rnd = random.Random(3)
     rust = rnd.choices(["#[test]", "  #[a]", "", "// c", "fn f() {}", "x(); // #[test]"], k=80)
@@ -101,3 +113,11 @@ def test_impact_reads_all_calls_once(spark):
     assert "Join LeftOuter" not in _plan(x["totals"])
     assert [tuple(r) for r in x["totals"].collect()] == [(1, 1, False)]
     assert [(r.caller_name, r.path) for r in x["callers"].collect()] == [("test_load", "test_a.py")]
+
+
+def test_types_are_resolved_once_each(spark):
+    s = _symbols(spark, [("p.py", i, f"part_{i}", "function", "(a: List[Big], b: int) -> big", i + 1, i + 1) for i in range(50)] + [("b.py", 0, "Big", "class", None, 9, 9)])
+    df = types.types_of(s, "part_", fuzzy=True)
+    assert "Aggregate" not in _plan(df)
+    rows = df.groupBy("kind", "param", "type", "def_path", "def_line").count().collect()
+    assert sorted(map(str, (tuple(r) for r in rows))) == sorted(map(str, [("param", "a", "List[Big]", "b.py", 9, 50), ("param", "b", "int", None, None, 50), ("return", None, "big", "b.py", 9, 50)]))
