@@ -33,9 +33,14 @@ def language(path: Column) -> Column:
 
 
 def lines(content: Column) -> Column:
-    """The lines, without a final empty one and without carriage returns; none for empty content."""
+    """The lines, without a final empty one and without carriage returns; none for empty content.
+
+    Without carriage returns, no pattern is needed: the final newline goes as a byte and the split is plain.
+    """
     parts = F.split(F.regexp_replace(content, r"\r?\n\z", ""), r"\r?\n")
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(parts)
+    cut = F.substring(content.cast("binary"), F.lit(1), F.octet_length(content) - 1).cast("string")
+    plain = F.split(F.when(content.endswith("\n"), cut).otherwise(content), "\n")
+    return F.when(content == "", F.array().cast("array<string>")).when(content.contains("\r"), parts).otherwise(plain)
 
 
 def content_hash(content: Column) -> Column:

@@ -82,18 +82,13 @@ def inspect(symbols: DataFrame, path: str, full: bool = False, exports_only: boo
 def with_bodies(symbols: DataFrame, files: DataFrame, cap: int | None = 50) -> DataFrame:
     """body text of each symbol; null for bodies longer than ``cap`` lines.
 
-    A file's symbols meet its lines as one row, so a content moves and is split once, however many
-    symbols it has.
+    A content moves and is split once, below the join, however many symbols it has. Symbols meet
+    its lines as rows, so that of their columns only those asked for are computed and moved.
     """
-    own = symbols.groupBy("path").agg(F.collect_list(F.struct(*symbols.columns)).alias("own"))
     split = files.select("path", X.lines(F.col("content")).alias("ls"))
-
-    def one(s: Column) -> Column:
-        body = X.span_text(F.col("ls"), s["line_start"], s["line_end"])
-        body = body if cap is None else F.when(s["line_end"] - s["line_start"] + 1 <= cap, body)
-        return F.struct(*(s[c].alias(c) for c in symbols.columns), body.alias("body"))
-
-    out = own.join(split, "path", "left").select(F.inline(F.transform("own", one)))
+    body = X.span_text(F.col("ls"), F.col("line_start"), F.col("line_end"))
+    body = body if cap is None else F.when(F.col("line_end") - F.col("line_start") + 1 <= cap, body)
+    out = symbols.join(split, "path", "left").select(*symbols.columns, body.alias("body"))
     return out.orderBy(F.col("score").desc(), "path", "ordinal") if "score" in symbols.columns else out
 
 

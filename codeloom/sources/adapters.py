@@ -32,12 +32,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(lines: DataFrame) -> DataFrame:
-    """Only a line's first two words go through the windows, not its text."""
+    """Only a line's first two words go through the windows, not its text; both windows read one sort."""
     word = lambda before: F.regexp_extract("text", rf"\A{before}[^A-Za-z]*+([A-Za-z]++)", 1)
-    own = Window.partitionBy("path")
+    own = Window.partitionBy("path").orderBy("line")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = lines.select("path", "line", word("").alias("name"), word("[^A-Za-z]*+[A-Za-z]++").alias("second"))
-    w = w.withColumn("last", F.max("line").over(own)).filter(F.col("name") != "")
-    nxt = F.lead("line").over(own.orderBy("line"))
+    w = w.withColumn("last", F.max("line").over(whole)).filter(F.col("name") != "")
+    nxt = F.lead("line").over(own)
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), F.col("line") % 9 + 1)
     none = lambda k: F.lit(None).cast(k)
     sig = F.when(F.col("second") != "", F.concat(F.lit("("), F.col("second"), F.lit(")")))

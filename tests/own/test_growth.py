@@ -1,11 +1,14 @@
 """Steps must not move or repeat more than their input: what the plans of the larger queries look like, and their rows by brute force."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as X
 from codeloom.operators import callgraph, search, types
 from codeloom.operators.relations import CALLS, FILES, SYMBOLS, enclosing, file_lines
+from codeloom.plans.queries import Q
 from codeloom.sources import adapters as A
 
 
@@ -58,6 +61,29 @@ def test_bodies_split_a_file_once(spark):
         assert {r.ordinal: r.body for r in df.collect()} == {**want, 0: None}
 
 
+def test_bodies_move_only_the_columns_asked_for(spark, tmp_path):
+    text = "The cat sat\n\n123\nA dog\nran\n"
+    spark.createDataFrame([(1, text, "en", "web"), (2, text.replace("\n", "\r\n"), "fr", "web"), (3, None, "en", "web"), (4, "", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    capped, whole = ({(r.path, r.ordinal): r.body for r in Q[name](spark, str(tmp_path)).collect()} for name in ("O9_capped_bodies", "X15_symbol_bodies"))
+    paths = ("web/1.py", "web/2.js")
+    assert whole == {(p, i): b for p in paths for i, b in ((1, "The cat sat\n\n123"), (4, "A dog"), (5, "ran"))}
+    assert capped == {k: b if "\n" not in b else None for k, b in whole.items()}
+    for name in ("O9_capped_bodies", "X15_symbol_bodies"):
+        plan = _plan(Q[name](spark, str(tmp_path)))
+        assert "collect_list" not in plan
+        assert plan.count("regexp_extract(") == 1  # a symbol's name; not its signature
+        assert plan.count("Window") == 2
+
+
+def test_lines_without_carriage_returns_need_no_pattern(spark):
+    texts = ["", "\n", "\n\n", "a", "a\n", "a\n\n", "a\nb", "\na", "a\r\nb\r\n", "a\rb\n", "a\n\r\n", "\r", "\r\n", "a\r", "ä€\U0001f600\n", "a\x85b\u2028c\x0c\nd", None]
+    want = {t: None if t is None else [] if t == "" else re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", t)) for t in texts}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.ls for r in df.select("t", X.lines(F.col("t")).alias("ls")).collect()} == want
+    bad = spark.sql("select cast(x as string) t from values (X'61E20A'), (X'E2') as v(x)").select(F.transform(X.lines(F.col("t")), lambda s: s.cast("binary")).alias("ls"))
+    assert [[bytes(x) for x in r.ls] for r in bad.collect()] == [["a\ufffd".encode()], ["\ufffd".encode()]]
+
+
 def test_enclosing_groups_no_calls(spark):
     rnd = random.Random(7)
     spans = [(p, i, a, min(150, a + rnd.choice((0, 3, 40, 120)))) for p in ("a.py", "b.py") for i, a in enumerate(rnd.choices(range(1, 150), k=60))]
